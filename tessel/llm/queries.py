@@ -60,17 +60,17 @@ from w left join kept using (doc_id)""",
     "op7_line_dedup": r"""
 with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as p from documents where text is not null),
 k as (select *, array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ') as key from l),
-n as (select *, row_number() over (partition by doc_id order by p) - 1 as at, lead(key) over (partition by doc_id order by p) as next from k where key <> ''),
-r as (select doc_id, at, first_value(doc_id) over f as d0, first_value(at) over f as a0 from n where next is not null
-      window f as (partition by key, next order by doc_id, at)),
-later as (select doc_id, at from r where (doc_id > d0 or (doc_id = d0 and at >= a0 + 2))),
-gone as (select distinct doc_id, at from (select doc_id, at from later union all select doc_id, at + 1 from later)),
-j as (select k.doc_id, k.p, k.line, n.at, gone.at is not null as g from k left join n on k.doc_id = n.doc_id and k.p = n.p left join gone on n.doc_id = gone.doc_id and n.at = gone.at)
-select d.doc_id, coalesce(count(j.at), 0)::bigint as n_lines, coalesce(count_if(j.g), 0)::bigint as n_removed,
+n as (select *, row_number() over (partition by doc_id order by p) - 1 as pos, lead(key) over (partition by doc_id order by p) as after_it from k where key <> ''),
+r as (select doc_id, pos, first_value(doc_id) over f as d0, first_value(pos) over f as a0 from n where after_it is not null
+      window f as (partition by key, after_it order by doc_id, pos)),
+later as (select doc_id, pos from r where (doc_id > d0 or (doc_id = d0 and pos >= a0 + 2))),
+gone as (select distinct doc_id, pos from (select doc_id, pos from later union all select doc_id, pos + 1 from later)),
+j as (select k.doc_id, k.p, k.line, n.pos, gone.pos is not null as g from k left join n on k.doc_id = n.doc_id and k.p = n.p left join gone on n.doc_id = gone.doc_id and n.pos = gone.pos)
+select d.doc_id, coalesce(count(j.pos), 0)::bigint as n_lines, coalesce(count_if(j.g), 0)::bigint as n_removed,
        case when d.text is null then null else coalesce(string_agg(j.line, chr(10) order by j.p) filter (where not j.g), '') end as kept_text
 from documents d left join j on d.doc_id = j.doc_id group by d.doc_id, d.text""",
     "op8_quality_rules": f"""
-with w as (select doc_id, coalesce(text, '') as text, {_WORDS} as ws, list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from documents),
+with w as (select doc_id, coalesce(text, '') as text, {_WORDS} as ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from documents),
 win as (select doc_id, i, count(*) over (partition by doc_id, k) as n
         from (select doc_id, i, array_to_string(ws[i:i + 7], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from w))),
 rep as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 8)) as p from win where n > 1) group by doc_id),
