@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import functions, splitting, tables
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _registry in (functions.R, splitting.R, tables.R):
+    QUERIES |= _registry.queries
+    ORACLE_SQL |= _registry.sql
 FLAGSHIP = "flagship"

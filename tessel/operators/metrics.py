@@ -13,14 +13,14 @@ def average_rank(rows: DataFrame, value: str, name: str = "rank", by: list[str]
 
     Values are counted first, so only one row per distinct value is ranked.
     """
-    by = by or []
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("__n"))
-    upto = F.sum("__n").over(Window.partitionBy(*by).orderBy(value))
-    ranks = counts.withColumn(name, upto - (F.col("__n") - 1) / 2).drop("__n")
+    keys = [*(by or []), value]
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    order = Window.partitionBy(*(by or [])).orderBy(value)
+    ranks = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], (F.sum("__n").over(order) - (F.col("__n") - 1) / 2).alias(name))
     cond = F.lit(True)
-    for c in [*by, value]:
-        cond = cond & rows[c].eqNullSafe(ranks[c])
-    return rows.join(ranks, cond).select(*[rows[c] for c in rows.columns], ranks[name])
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return rows.join(ranks, cond).drop(*[f"__k{i}" for i in range(len(keys))])
 
 
 def pearson(x: Column, y: Column) -> Column:
