@@ -104,7 +104,7 @@ class Items:
         order = np.lexsort((item, doc))
         doc, item, at_doc, at_item = doc[order], item[order], at_doc[order], at_item[order]
         cuts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))) if len(doc) else np.zeros(0, int)
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(doc)], strict=True):
+        for a, b in zip(cuts.tolist(), np.append(cuts, len(doc))[1:].tolist(), strict=True):
             d, k = int(doc[a]), int(item[a])
             mine = self.names[k]
             tiles = tile(stretches(mine, names[words.doc_at[d] : words.doc_at[d + 1]], at_item[a:b], at_doc[a:b], self.size), len(mine), self.size)

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..storage import Stored
 from .textscan import U64, Rolling, Words, mix, signed, text_slices, window_starts
@@ -99,7 +100,8 @@ def _cut(size: int, columns: list[str]):
 def cut_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``__kept`` (the text without repeated lines), ``__lines`` and ``__gone``."""
     store = Stored(docs.sparkSession, "lines")
-    keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__text", F.col(text_col)).withColumn("__row", F.xxhash64(text_col))
+    # the documents go through as one struct, so their columns' names cannot clash with those used here
+    keyed = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__row"))
     found = keyed.where("__id is not null and __text is not null").select("__id", "__row", F.col("__text").alias("text"))
     runs = store.put(found.mapInArrow(_runs(min_run), "mark long, name long, __id long, __row long, at int"), "runs")
     place = F.struct("__id", "__row", "at")
@@ -107,9 +109,9 @@ def cut_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_co
     later = runs.join(many, ["mark", "name"]).where(f"(__id, __row, at) > (a.__id, a.__row, a.at) and not (__id = a.__id and __row = a.__row and at < a.at + {min_run})")
     gone = store.put(later.groupBy("__id", "__row").agg(F.collect_set("at").alias("__starts")), "gone")
     store.drop("runs")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    joined = keyed.join(gone, ["__id", "__row"], "left").select(*docs.columns, "__text", "__starts")
-    return joined.mapInArrow(_cut(min_run, docs.columns), f"{schema}, __kept string, __lines long, __gone long")
+    joined = keyed.join(gone, ["__id", "__row"], "left").select("__doc", "__text", "__starts")
+    cut = joined.mapInArrow(_cut(min_run, ["__doc"]), StructType([joined.schema["__doc"], *StructType.fromDDL("__kept string, __lines long, __gone long").fields]))
+    return cut.select("__doc.*", "__kept", "__lines", "__gone")
 
 
 def line_dedup(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -52,13 +52,16 @@ def _distinct(docs: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per sampled document the least mixed term: near copies mostly agree in it."""
+    """Per sampled document the least terms of three mixings as one name: near copies mostly agree in it, others don't."""
     for batch in batches:
         for part in text_slices(batch):
             words = tokens(part.column("text"))
-            least = np.full(len(part), U64(0xFFFFFFFFFFFFFFFF))
-            np.minimum.at(least, words.docs(), mix(words.names(), 31))
-            yield pa.RecordBatch.from_arrays([part.column("__label_id"), part.column("__label"), pa.array(signed(least)), pa.array(words.counts.astype(np.int64))], ["__label_id", "__label", "part", "n"])
+            name = np.zeros(len(part), U64)
+            for salt in (31, 32, 33):
+                least = np.full(len(part), U64(0xFFFFFFFFFFFFFFFF))
+                np.minimum.at(least, words.docs(), mix(words.names(), salt))
+                name = mix(name * U64(3) + least, salt)
+            yield pa.RecordBatch.from_arrays([part.column("__label_id"), part.column("__label"), pa.array(signed(name)), pa.array(words.counts.astype(np.int64))], ["__label_id", "__label", "part", "n"])
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +180,7 @@ class Index:
         docs, terms, counts = self.vocabulary.counts(texts)
         known: dict[bytes, tuple[float, list[int]]] = {}
         cuts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.zeros(0, int)
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(docs)], strict=True):
+        for a, b in zip(cuts.tolist(), np.append(cuts, len(docs))[1:].tolist(), strict=True):
             key = terms[a:b].tobytes() + b"|" + counts[a:b].tobytes()
             if key not in known:
                 vote, found = self.vote(terms[a:b], self.weigh(counts[a:b], terms[a:b]))
