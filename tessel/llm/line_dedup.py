@@ -101,15 +101,17 @@ def cut_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_co
     """All columns of ``docs`` with ``__kept`` (the text without repeated lines), ``__lines`` and ``__gone``."""
     store = Stored(docs.sparkSession, "lines")
     # the documents go through as one struct, so their columns' names cannot clash with those used here
-    keyed = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__row"))
-    found = keyed.where("__id is not null and __text is not null").select("__id", "__row", F.col("__text").alias("text"))
+    keyed = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__row"))
+    text = F.col("__doc").getField(text_col)
+    found = keyed.where(F.col("__id").isNotNull() & text.isNotNull()).select("__id", "__row", text.alias("text"))
     runs = store.put(found.mapInArrow(_runs(min_run), "mark long, name long, __id long, __row long, at int"), "runs")
     place = F.struct("__id", "__row", "at")
     many = runs.groupBy("mark", "name").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("mark", "name", "a")
     later = runs.join(many, ["mark", "name"]).where(f"(__id, __row, at) > (a.__id, a.__row, a.at) and not (__id = a.__id and __row = a.__row and at < a.at + {min_run})")
     gone = store.put(later.groupBy("__id", "__row").agg(F.collect_set("at").alias("__starts")), "gone")
     store.drop("runs")
-    joined = keyed.join(gone, ["__id", "__row"], "left").select("__doc", "__text", "__starts")
+    # the cut documents grow with the table, so the join is the same at every size; a text is exchanged once
+    joined = keyed.join(gone.hint("merge"), ["__id", "__row"], "left").select("__doc", text.alias("__text"), "__starts")
     cut = joined.mapInArrow(_cut(min_run, ["__doc"]), StructType([joined.schema["__doc"], *StructType.fromDDL("__kept string, __lines long, __gone long").fields]))
     return cut.select("__doc.*", "__kept", "__lines", "__gone")
 
