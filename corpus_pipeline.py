@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm.decontaminate import decontaminate
-from tessel.llm.line_dedup import cut_lines
+from tessel.llm.line_dedup import LONG_LINE, cut_lines
 from tessel.llm.near_dedup import drop_near_duplicates
 from tessel.llm.packing import pack
 from tessel.llm.quality import score, train
@@ -25,8 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later repeated runs of lines; those of which nothing is left go."""
-    found = cut_lines(docs).where("__gone = 0 or __gone < __lines")
+    """Documents without later repeated runs of lines and long single lines; those of which nothing is left go."""
+    found = cut_lines(docs, min_words=LONG_LINE).where("__gone = 0 or __gone < __lines")
     return found.select(*[F.when(F.col("__gone") > 0, F.col("__kept")).otherwise(F.col("text")).alias("text") if c == "text" else F.when(F.col("__gone") > 0, F.length("__kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

@@ -4,7 +4,7 @@ A line is what stands between line feeds and has a word; white space does not co
 every ``min_run`` consecutive lines the least hash is the window's fingerprint, so equal runs of that many lines share a
 fingerprint for sure.  Positions are joined on fingerprint and run; a run that begins at a later place than its first
 occurrence, and does not overlap it, goes.  Consecutive such runs make up the longer repeated stretches: matches are so
-extended both ways.  Places are ordered by doc_id, then by the text's hash, then by line.  All is judged on the input.
+extended both ways.  With ``min_words`` a single line of that many words is a run too, whatever stands around it.  Places are ordered by doc_id, then by the text's hash, then by line.  All is judged on the input.
 
 Defined cases: null and empty texts have no lines and stay as they are; rows with a null doc_id stay as they are and
 are no first occurrence; rows that are alike in doc_id and text are one document; lines without words stay; columns of
@@ -25,6 +25,10 @@ from ..storage import Stored
 from .textscan import U64, Rolling, Words, mix, signed, text_slices, window_starts
 
 
+#: Words from which a single repeated line goes; as many as the repeated runs of words that the quality rules count.
+LONG_LINE = 8
+
+
 class Lines:
     """Lines with words, of many documents: their byte spans and hashes."""
 
@@ -39,7 +43,7 @@ class Lines:
             new[1:] = line[1:] != line[:-1]
             new[words.doc_at[:-1][words.counts > 0]] = True
         first = np.flatnonzero(new)
-        size = np.diff(np.append(first, n))
+        self.n_words = size = np.diff(np.append(first, n))
         self.at = words.start[first]
         self.names = Rolling(words.names()).of(first, size) if n else np.zeros(0, U64)
         self.doc_at = np.searchsorted(first, words.doc_at)
@@ -55,14 +59,20 @@ class Lines:
         return starts, docs, least, Rolling(self.names).of(starts, size)
 
 
-def _runs(size: int):
+def _runs(size: int, min_words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
                 lines = Lines(part.column("text"))
                 starts, docs, mark, name = lines.runs(size)
+                sizes = np.full(len(starts), size, np.int32)
+                if min_words is not None and size > 1:
+                    one = lines.runs(1)
+                    long = np.flatnonzero(lines.n_words[one[0]] >= min_words)
+                    starts, docs, mark, name = (np.concatenate((a, b[long])) for a, b in zip((starts, docs, mark, name), one, strict=True))
+                    sizes = np.append(sizes, np.ones(len(long), np.int32))
                 ids, rows = (part.column(c).to_numpy(zero_copy_only=False)[docs] for c in ("__id", "__row"))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(mark)), pa.array(signed(name)), pa.array(ids), pa.array(rows), pa.array((starts - lines.doc_at[docs]).astype(np.int32))], ["mark", "name", "__id", "__row", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(mark)), pa.array(signed(name)), pa.array(ids), pa.array(rows), pa.array((starts - lines.doc_at[docs]).astype(np.int32)), pa.array(sizes)], ["mark", "name", "__id", "__row", "at", "size"])
 
     return run
 
@@ -75,11 +85,11 @@ def _cut(size: int, columns: list[str]):
                 raw, offsets = lines.words.bytes.tobytes(), lines.words.offsets
                 n_lines = np.diff(lines.doc_at)
                 removed, texts = np.zeros(len(part), np.int64), part.column("__text").to_pylist()
-                for i, starts in enumerate(part.column("__starts").to_pylist()):
-                    if not starts:
+                for i, (starts, ones) in enumerate(zip(part.column("__starts").to_pylist(), part.column("__ones").to_pylist(), strict=True)):
+                    if not starts and not ones:
                         continue
                     at = lines.at[lines.doc_at[i] : lines.doc_at[i + 1]].tolist()
-                    gone = {s + k for s in starts for k in range(size)}
+                    gone = {s + k for s in starts for k in range(size)} | set(ones)
                     removed[i] = len(gone)
                     begin, end = int(offsets[i]), int(offsets[i + 1])
                     doomed = {raw.rfind(b"\n", begin, at[k]) + 1 or begin for k in gone}
@@ -97,25 +107,29 @@ def _cut(size: int, columns: list[str]):
     return run
 
 
-def cut_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``__kept`` (the text without repeated lines), ``__lines`` and ``__gone``."""
+def cut_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
+    """All columns of ``docs`` with ``__kept`` (the text without repeated lines), ``__lines`` and ``__gone``.
+
+    A run is ``min_run`` lines, or, if ``min_words`` is given, one line of at least that many words.
+    """
     store = Stored(docs.sparkSession, "lines")
     # the documents go through as one struct, so their columns' names cannot clash with those used here
     keyed = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__row"))
     text = F.col("__doc").getField(text_col)
     found = keyed.where(F.col("__id").isNotNull() & text.isNotNull()).select("__id", "__row", text.alias("text"))
-    runs = store.put(found.mapInArrow(_runs(min_run), "mark long, name long, __id long, __row long, at int"), "runs")
+    runs = store.put(found.mapInArrow(_runs(min_run, min_words), "mark long, name long, __id long, __row long, at int, size int"), "runs")
     place = F.struct("__id", "__row", "at")
     many = runs.groupBy("mark", "name").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("mark", "name", "a")
-    later = runs.join(many, ["mark", "name"]).where(f"(__id, __row, at) > (a.__id, a.__row, a.at) and not (__id = a.__id and __row = a.__row and at < a.at + {min_run})")
-    gone = store.put(later.groupBy("__id", "__row").agg(F.collect_set("at").alias("__starts")), "gone")
+    later = runs.join(many, ["mark", "name"]).where("(__id, __row, at) > (a.__id, a.__row, a.at) and not (__id = a.__id and __row = a.__row and at < a.at + size)")
+    whole = F.col("size") == min_run
+    gone = store.put(later.groupBy("__id", "__row").agg(F.collect_set(F.when(whole, F.col("at"))).alias("__starts"), F.collect_set(F.when(~whole, F.col("at"))).alias("__ones")), "gone")
     store.drop("runs")
     # the cut documents grow with the table, so the join is the same at every size; a text is exchanged once
-    joined = keyed.join(gone.hint("merge"), ["__id", "__row"], "left").select("__doc", text.alias("__text"), "__starts")
+    joined = keyed.join(gone.hint("merge"), ["__id", "__row"], "left").select("__doc", text.alias("__text"), "__starts", "__ones")
     cut = joined.mapInArrow(_cut(min_run, ["__doc"]), StructType([joined.schema["__doc"], *StructType.fromDDL("__kept string, __lines long, __gone long").fields]))
     return cut.select("__doc.*", "__kept", "__lines", "__gone")
 
 
-def line_dedup(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed and the kept text."""
-    return cut_lines(docs.select(id_col, text_col), min_run, id_col, text_col).select(id_col, F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), F.col("__kept").alias("kept_text"))
+    return cut_lines(docs.select(id_col, text_col), min_run, id_col, text_col, min_words).select(id_col, F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), F.col("__kept").alias("kept_text"))

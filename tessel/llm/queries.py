@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
 from .licences import licences
-from .line_dedup import line_dedup
+from .line_dedup import LONG_LINE, line_dedup
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import quality
@@ -36,6 +36,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality": _over(quality, "documents", "labels"),
     "op6_contamination": _over(contamination, "documents", "benchmark"),
     "op7_line_dedup": _over(line_dedup, "documents"),
+    "op7_line_dedup_long_lines": _over(line_dedup, "documents", min_words=LONG_LINE),
     "op8_quality_rules": _over(quality_rules, "documents"),
     "op9_token_files": _over(token_digest, "documents"),
     "op10_packing": _over(pack, "documents"),

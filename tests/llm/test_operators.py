@@ -361,6 +361,20 @@ def test_line_dedup_of_odd_tables(spark, no_documents):
     assert got == [(-1, 0, "a\nb\nc"), (1, 0, "x\na\nb"), (1, 0, "x\na\nb"), (2, 2, "c")]
 
 
+def test_long_single_lines_go_whatever_stands_around_them(spark):
+    import corpus_pipeline
+
+    long, short = " ".join(f"w{i}" for i in range(60)), "only a few words here"
+    rows = [(i, f"before {i}\n{long}\nbetween {i}\n{short}\nafter {i}") for i in range(3)] + [(3, f"x y\n{long}\n{long}"), (4, "\n".join(["same line of more words than seven are"] * 3))]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.line_dedup(docs, min_words=8).collect()}
+    assert got[0] == (5, 0, rows[0][1])
+    assert [got[i] for i in (1, 2)] == [(5, 1, f"before {i}\nbetween {i}\n{short}\nafter {i}") for i in (1, 2)]
+    assert got[3] == (3, 2, "x y") and got[4] == (3, 2, "same line of more words than seven are")
+    staged = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    assert staged == {i: t for i, (_, _, t) in got.items()}
+
+
 # 8 quality rules
 
 
