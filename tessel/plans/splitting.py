@@ -277,6 +277,44 @@ def _(t):
     return structural_features(edges(t)).select("node", "degree", "log_degree")
 
 
+#: All of lineitem: an order's node is even, a supplier's odd.
+_ALL_EDGES = "(select distinct least(l_orderkey * 2, l_suppkey * 2 + 1) as u, greatest(l_orderkey * 2, l_suppkey * 2 + 1) as v from lineitem)"
+
+
+def all_edges(t):
+    x = t.lineitem.select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b"))
+    return x.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+# without SQL, which would have to recurse over whole tables; tests hold both against brute force
+@R.add("g01_components_whole")
+def _(t):
+    return connected_components(all_edges(t))
+
+
+@R.add("g08_graph_statistics_whole")
+def _(t):
+    from ..operators.graphs import statistics
+
+    return statistics(all_edges(t))
+
+
+@R.add("a14_degrees_whole", f"with e as {_ALL_EDGES} select node, count(*) as degree from (select u as node from e union all select v from e) group by 1")
+def _(t):
+    from ..operators.graphs import degrees
+
+    return degrees(all_edges(t))
+
+
+@R.add("k06_structural_features_whole", f"""
+with e as {_ALL_EDGES}, b as (select u, v from e union all select v, u from e), d as (select u as node, count(*) as degree from b group by 1)
+select node, degree, ln(1 + degree) as log_degree from d""")
+def _(t):
+    from ..operators.features import structural_features
+
+    return structural_features(all_edges(t)).select("node", "degree", "log_degree")
+
+
 @R.add("u04_edges_distinct", "select distinct least(s_nationkey, c_nationkey) as u, greatest(s_nationkey, c_nationkey) as v from (select distinct s_nationkey from supplier), (select distinct c_nationkey from customer) where s_nationkey <> c_nationkey and (s_nationkey + c_nationkey) % 3 = 0")
 def _(t):
     from ..operators.graphs import undirected
@@ -285,6 +323,14 @@ def _(t):
     return undirected(s.join(c, (F.col("s_nationkey") != F.col("c_nationkey")) & ((F.col("s_nationkey") + F.col("c_nationkey")) % 3 == 0)), "s_nationkey", "c_nationkey")
 
 
+@R.add("u04_edges_distinct_whole", "select distinct least(s_nationkey, c_nationkey) as u, greatest(s_nationkey, c_nationkey) as v from (select distinct s_nationkey from supplier), (select distinct c_nationkey from customer) where s_nationkey <> c_nationkey")
+def _(t):
+    from ..operators.graphs import undirected
+
+    s, c = t.supplier.select("s_nationkey").distinct(), t.customer.select("c_nationkey").distinct()
+    return undirected(s.join(c, F.col("s_nationkey") != F.col("c_nationkey")), "s_nationkey", "c_nationkey")
+
+
 _KMER_SET = """with s as (select s_suppkey as region, translate(lpad(s_suppkey::varchar, 6, '0') || lpad((s_suppkey * 7 % 1000)::varchar, 6, '3'), '0123456789', 'ACGTACGTAC') as seq from supplier),
 k as (select distinct region, substr(seq, i, 6) as kmer from s, (select unnest(range(1, 8)) as i))"""
 
