@@ -106,6 +106,24 @@ def test_licences_equal_a_plain_scan(spark):
         assert got[i].family == (best if p.max() >= 0.5 and share >= 0.6 else "unknown")
 
 
+def test_wrapped_and_renamed_notices(spark):
+    import textwrap
+
+    rows, want = [], []
+    for f, ts in licences.TEMPLATES.items():
+        for t in ts:
+            for width in (24, 45, 70):
+                for mark in ("", "# ", " * "):
+                    block = "\n".join(mark + x for x in textwrap.wrap(t, width))
+                    rows.append((len(rows), f"A title\n{mark}\n{block}\n{mark}\nimport os"))
+                    want.append(f)
+    short = [(1000, "Released under CC BY 4.0.", "cc-by-4.0"), (1001, "Mozilla is a browser.\nSome words.", "unknown"), (1002, "GPL-3.0", "unknown")]
+    got = {r.doc_id: r for r in licences.licences(spark.createDataFrame(rows + [x[:2] for x in short], "doc_id long, text string")).collect()}
+    wrong = [(rows[i][1], f, got[i].family) for i, f in enumerate(want) if got[i].family != f]
+    assert not wrong
+    assert {i: got[i].family for i, _, _ in short} == {i: f for i, _, f in short}
+
+
 def test_native_operators_run_no_python(documents):
     for df in (licences.licences(documents), quality_rules.quality_rules(documents)):
         plan = df._jdf.queryExecution().executedPlan().toString()
