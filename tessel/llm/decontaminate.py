@@ -1,15 +1,16 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts and test items are lower-cased and cut into runs of letters and digits.  A document and an item that share
+Texts and test items are lower-cased and cut into runs of letters, marks and numbers of Unicode; characters of scripts
+without spaces are tokens one by one.  A document and an item that share
 ``min_match`` consecutive tokens are tiled: running Karp-Rabin hashes give all common stretches, the longest one whose
 tokens are free is marked, and so on until none of ``min_match`` tokens is left.  The share of the item's tokens that are
 marked is its coverage, in whatever order its parts stand in the document.  Coverage of ``threshold`` or more
-contaminates.
+contaminates.  An item of fewer tokens than ``min_match`` is covered by a document that has all of them in a row.
 
 The test items are sent to the executors in blocks of at most ``block_chars`` characters, each a pass over the documents
 without any shuffle.
 
-Defined cases: null and empty texts are clean; items without ``min_match`` tokens match nothing; of items with equal
+Defined cases: null and empty texts are clean; items without tokens match nothing; of items with equal
 coverage the least item_id is named; repeated items and rows count like any others; columns of the documents go through.
 """
 
@@ -34,6 +35,12 @@ def tokens(texts: pa.Array) -> Words:
     return Words(pc.utf8_lower(texts), NOT_ALNUM)
 
 
+def parts(texts: pa.Array) -> Words:
+    if texts.null_count:
+        texts = texts.fill_null("")
+    return Words(pc.utf8_lower(texts), by_category=True)
+
+
 def stretches(item: np.ndarray, text: np.ndarray, seeds_item: np.ndarray, seeds_text: np.ndarray, size: int) -> list[tuple[int, int, int]]:
     """Maximal common stretches (item_at, text_at, length) from the places of common runs of ``size`` tokens."""
     order = np.lexsort((seeds_text, seeds_text - seeds_item))
@@ -73,7 +80,7 @@ class Items:
     """A block of test items and the index of their runs of ``size`` tokens."""
 
     def __init__(self, ids: list[int], texts: list[str], size: int) -> None:
-        words = tokens(pa.array(texts, pa.large_string()))
+        words = parts(pa.array(texts, pa.large_string()))
         names = words.names()
         starts, docs = window_starts(words.doc_at, size)
         keys = Rolling(names).of(starts, size) if len(starts) else np.zeros(0, np.uint64)
@@ -81,14 +88,39 @@ class Items:
         self.keys, self.item, self.at = keys[order], docs[order], (starts - words.doc_at[docs])[order]
         self.ids, self.size = np.array(ids, np.int64), size
         self.names = [names[a:b] for a, b in zip(words.doc_at[:-1], words.doc_at[1:], strict=True)]
+        self.short = []  # (size, keys of whole items of that size, their ids), by key and id
+        for n in range(1, size):
+            few = np.flatnonzero(words.counts == n)
+            if len(few):
+                keys = Rolling(names).of(words.doc_at[few], n)
+                order = np.lexsort((self.ids[few], keys))
+                self.short.append((n, keys[order], self.ids[few][order]))
+
+    def _whole(self, words: Words, names: np.ndarray, out: list) -> None:
+        """Puts into ``out`` the least of the short items that a text has, where it covers more or is less."""
+        for n, item_keys, ids in self.short:
+            starts, docs = window_starts(words.doc_at, n)
+            if not len(starts):
+                continue
+            keys = Rolling(names).of(starts, n)
+            low = np.minimum(np.searchsorted(item_keys, keys), len(item_keys) - 1)
+            hit = np.flatnonzero(item_keys[low] == keys)
+            hit = hit[np.lexsort((starts[hit], ids[low[hit]], docs[hit]))]
+            for h in hit[np.unique(docs[hit], return_index=True)[1]].tolist():
+                d, i = int(docs[h]), int(ids[low[h]])
+                if out[d] is None or (-1.0, i) < (-out[d][1], out[d][0]):
+                    out[d] = (i, 1.0, [(0, int(starts[h] - words.doc_at[d]), n)])
 
     def check(self, texts: pa.Array) -> list[tuple[int, float, list[tuple[int, int, int]]] | None]:
         """For each text the item with the greatest coverage, and its tiles."""
         out: list = [None] * len(texts)
-        if not len(self.keys):
+        if not len(self.keys) and not self.short:
             return out
-        words = tokens(texts)
+        words = parts(texts)
         names = words.names()
+        self._whole(words, names, out)
+        if not len(self.keys):
+            return out
         starts, docs = window_starts(words.doc_at, self.size)
         if not len(starts):
             return out

@@ -6,7 +6,9 @@ the bytes of many documents at once, so their cost is a few numpy passes over th
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,19 +76,62 @@ def _binary(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+#: Blocks of scripts that are written without spaces: Thai, Lao, Myanmar, Khmer, kana and Han.
+_UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3021, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+    (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF),
+)
+
+
+@cache
+def _category_kinds() -> np.ndarray:
+    """For each code point 0 if it parts words, 1 if it belongs to them, 2 if it is one."""
+    kind = np.array([unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)], np.uint8)
+    for a, b in _UNSPACED:
+        kind[a : b + 1] *= 2
+    return kind
+
+
+def _kinds(b: np.ndarray) -> np.ndarray:
+    """The kind of each byte's character in UTF-8."""
+    table = _category_kinds()
+    out = table[b]
+    at = np.flatnonzero(b >= 0xC0)
+    if len(at):
+        size = 2 + (b[at] >= 0xE0).astype(np.int8) + (b[at] >= 0xF0)
+        code = b[at].astype(np.int32) & np.array([0, 0, 0x1F, 0x0F, 0x07])[size]
+        for k in (1, 2, 3):
+            more = np.flatnonzero(size > k)
+            code[more] = code[more] << 6 | (b[at[more] + k] & 0x3F)
+        kind = table[code]
+        for k in range(4):
+            more = size > k
+            out[at[more] + k] = kind[more]
+    return out
+
+
 class Words:
     """The words of many documents: byte spans, the documents they belong to, and 64-bit names of equal words."""
 
-    def __init__(self, texts: pa.Array, separators: np.ndarray | None = None) -> None:
-        """``separators``: for each byte, whether it parts words; white space if not given."""
+    def __init__(self, texts: pa.Array, separators: np.ndarray | None = None, by_category: bool = False) -> None:
+        """``separators``: for each byte, whether it parts words; white space if not given.
+
+        ``by_category``: words are letters, marks and numbers of Unicode; those of unspaced scripts are words one by one.
+        """
         self.bytes, self.offsets = _binary(texts)
         self.n_docs = len(self.offsets) - 1
         b = self.bytes
         inside = np.ones(len(b) + 2, bool)
         inside[0] = inside[-1] = False
-        np.logical_not((b == 32) | ((b >= 9) & (b <= 13)) if separators is None else separators[b], out=inside[1:-1])
+        kind = _kinds(b) if by_category else None
+        np.logical_not(kind == 0 if by_category else (b == 32) | ((b >= 9) & (b <= 13)) if separators is None else separators[b], out=inside[1:-1])
         starts = inside[1:-1] & ~inside[:-2]
         ends = inside[1:-1] & ~inside[2:]
+        if by_category and len(b):
+            lead = inside[1:-1] & ((b & 0xC0) != 0x80)
+            starts |= lead & (kind == 2)
+            starts[1:] |= lead[1:] & (kind[:-1] == 2)
+            ends[:-1] |= starts[1:] & inside[1:-2]
         cuts = self.offsets[1:-1]
         cuts = cuts[(cuts > 0) & (cuts < len(b))]
         starts[cuts] = inside[1:-1][cuts]  # a document's first byte never continues the word before it

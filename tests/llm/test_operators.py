@@ -318,6 +318,17 @@ def test_contamination_finds_reordered_passages(spark, documents, corpus):
     assert decontaminate.contamination(documents, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_items_of_unspaced_scripts_and_short_items_are_found(spark):
+    texts = {1: "東京は日本の首都であり世界最大の都市です", 2: "ภาษาไทยไม่มีช่องว่าง", 3: "Paris, France", 4: "she said it's a well known fact of life here", 5: "答案", 6: "?!"}
+    bench = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    said = "“She said—it’s a ‘well‑known’ fact of life here…”"
+    docs = ["前文。" + texts[1] + "。後文", "xx" + texts[2] + "yy", "in paris (France) again", said, "他的答案是", "?!", "paris", "france paris", "日本の東京", "", None]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    for chars in (16_000_000, 20):  # one block and many
+        got = {r.doc_id: (r.item_id, r.contaminated) for r in decontaminate.contamination(df, bench, block_chars=chars).collect()}
+        assert got == {0: (1, True), 1: (2, True), 2: (3, True), 3: (4, True), 4: (5, True)} | {i: (None, False) for i in range(5, 11)}
+
+
 def test_tiles_are_greedy():
     rng = random.Random(6)
     for _ in range(60):
