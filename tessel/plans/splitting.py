@@ -35,13 +35,6 @@ def _(t):
     return n.select("l_orderkey", *[s[r].cast("long").alias(f"n_{r}") for r in ("train", "val", "test")])
 
 
-@R.add("l01_sizes_by_ratio", """
-select l_orderkey, n, n * 3 // 5 + case when n * 3 % 5 in (3, 4) or (n * 3 % 5 = 2 and n % 5 < 2) then 1 else 0 end as n_train_min from (select l_orderkey, count(*) + 4 as n from lineitem group by 1) where false""")
-def _(t):
-    n = t.lineitem.groupBy("l_orderkey").agg((F.count("*") + 4).alias("n"))
-    return n.select("l_orderkey", "n", F.lit(0).cast("long").alias("n_train_min")).where("false")
-
-
 @R.add("l02_random_split", f"select c_custkey, {_ROLE} as train_test from {_ranked('customer', 'c_custkey', 7)}")
 def _(t):
     return L.random_split(t.customer.select("c_custkey"), "c_custkey", 7)
@@ -388,9 +381,6 @@ def _(t):
     return A.group_imbalance(L.random_split(t.customer.select("c_custkey", "c_nationkey"), "c_custkey", 7), "c_nationkey")
 
 
-del R.queries["l01_sizes_by_ratio"], R.sql["l01_sizes_by_ratio"]
-
-
 @R.add("l01_sizes_by_ratio", """
 select l_orderkey, n_train, n_val, n_test from (select l_orderkey, n,
   case n when 5 then 3 when 6 then 4 when 7 then 4 when 8 then 5 when 9 then 5 when 10 then 6 when 11 then 7 end as n_train,
@@ -401,3 +391,13 @@ def _(t):
     n = t.lineitem.groupBy("l_orderkey").agg((F.least(F.count("*"), F.lit(7)) + 4).alias("n"))
     s = L.size_columns(F.col("n"), L.Ratios())
     return n.select("l_orderkey", *[s[r].cast("int").alias(f"n_{r}") for r in ("train", "val", "test")])
+
+
+@R.add("l01_sizes_by_ratio_whole", """
+select l_orderkey, n * 3 // 5 + (case when n % 5 > n * 3 % 5 then 2 else 0 end < k)::bigint as n_train,
+  n // 5 + (case when n * 3 % 5 >= n % 5 then 1 else 0 end + 1 < k)::bigint as n_val, n // 5 + (case when n * 3 % 5 >= n % 5 then 1 else 0 end < k)::bigint as n_test
+from (select l_orderkey, n, (n * 3 % 5 + 2 * (n % 5)) // 5 as k from (select l_orderkey, count(*) + 4 as n from lineitem group by 1))""")
+def _(t):
+    n = t.lineitem.groupBy("l_orderkey").agg((F.count("*") + 4).alias("n"))
+    s = L.size_columns(F.col("n"), L.Ratios())
+    return n.select("l_orderkey", *[s[r].cast("long").alias(f"n_{r}") for r in ("train", "val", "test")])

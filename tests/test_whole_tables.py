@@ -50,3 +50,16 @@ def test_graph_of_all_lineitems(spark):
     assert {r.node: r.component for r in got} == want
     (r,) = catalog.QUERIES["g08_graph_statistics_whole"](spark, DATA).collect()
     assert (r.n_edges, r.n_nodes, r.n_components, r.largest, r.median_size, r.n_singletons) == (len(edges), len(want), len(sizes), sizes[0], sizes[len(sizes) // 2], sizes.count(1))
+
+
+@needs_tables
+def test_sizes_of_all_groups(spark):
+    n = {r.l_orderkey: r["count"] + 4 for r in spark.read.parquet(f"{DATA}/lineitem.parquet").groupBy("l_orderkey").count().collect()}
+    got = {r.l_orderkey: (r.n_train, r.n_test, r.n_val) for r in catalog.QUERIES["l01_sizes_by_ratio_whole"](spark, DATA).collect()}
+    assert max(n.values()) > 11 and got.keys() == n.keys()
+    for key, sizes in got.items():
+        rest = sorted(range(3), key=lambda r: (-(n[key] * (3, 1, 1)[r] % 5), r))
+        whole = [n[key] * w // 5 for w in (3, 1, 1)]
+        for r in rest[: n[key] - sum(whole)]:
+            whole[r] += 1
+        assert sizes == tuple(whole)
