@@ -156,6 +156,15 @@ def _(t):
     return s.select("p_partkey", Q.pack_kmer(F.col("k")).alias("code")).select("*", Q.unpack_kmer(F.col("code"), 8).alias("kmer"))
 
 
+@R.add("f25_kmer_packing_whole", f"""
+with s as (select p_partkey, {SEQ_SQL} as seq from part), w as (select p_partkey, unnest(list_transform(range(1, length(seq) - 6), lambda i: substr(seq, i, 8))) as k from s),
+v as (select p_partkey, k, list_sum(list_transform(range(1, 9), lambda i: (strpos('ACGT', substr(k, i, 1)) - 1) * pow(4, 8 - i)))::bigint as code from w where not contains(k, 'N'))
+select p_partkey, code, k as kmer from v""")
+def _(t):
+    s = sequences(t).select("p_partkey", F.explode(Q.kmers(F.col("seq"), 8)).alias("k"))
+    return s.select("p_partkey", Q.pack_kmer(F.col("k")).alias("code")).select("*", Q.unpack_kmer(F.col("code"), 8).alias("kmer"))
+
+
 @R.add("f26_timestamps", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as iso from events")
 def _(t):
     return t.events.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
