@@ -1,4 +1,4 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by hashes of all windows of lines; unlike in winnowing, no window is left out.
 
 A line is what stands between line feeds and has a word; white space does not count when lines are compared.  Over
 every ``min_run`` consecutive lines the least hash is the window's fingerprint, so equal runs of that many lines share a
