@@ -7,13 +7,24 @@ texts agree in a register with a chance equal to their weighted Jaccard similari
 horizon cannot be the earliest, so most elements cost one random number; documents with an empty register get a later
 horizon.
 
-Texts that agree in a band are candidates; their similarity is computed exactly.  Whole copies are one candidate.  In a
-bucket all members are first compared with the least one, and what that does not put into one class is compared with
-all members of other classes, unless the signatures rule the pair out.  So no pair within a class need be formed, and no
-link between classes is left out.  Classes are connected components.
+Texts that agree in a band make up a bucket.  The text whose buckets are the largest stands nearest to what its copies have
+in common; in each bucket it is the centre, and every member is compared with the centre exactly.  Links make classes, connected components.  In buckets that hold several classes after that, members of
+different classes may still be linked past the centre:
+
+* in a bucket of at most ``SMALL`` texts these pairs are compared directly, at most ``SMALL`` for each text;
+* in a larger one each member is reduced to its differences from the centre, the runs that only one of both has.  If
+  neither text of a pair lies with the centre, or only one does, the pair can be similar enough only if both share a
+  certain number of differences (``reach``), so their first differences, those that few members have before those that
+  many have, have one in common: prefix filtering.  Members with a common difference make up smaller buckets, which go the
+  same way once more.
+
+So no pairs within a class are formed, no link is lost that shares a band, and the pairs that are compared are few where
+copies differ from their origin each in its own way.  Whole copies are one text.
 
 Defined cases: null and empty texts are copies of each other; texts of one to four words are one run; rows of one doc_id
-are one document; a null doc_id has a null class; extra columns are ignored.
+are one document, so all texts of an id are in one class; equal rows count once; a null doc_id has a null class; of
+similarities equal to the threshold all count; very long texts are compared whole, one at a time; an empty table has no
+rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,15 +33,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..storage import Stored
+from .skew import split_join
 from .textscan import U64, Rolling, Words, mix, signed, text_slices, window_starts
 
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
+#: Buckets of up to this many texts are compared pair by pair.
+SMALL = 32
+#: Pairs of one text with more others than this are dealt to several tasks.
+SALTED = 500
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +122,7 @@ def _earliest(docs: np.ndarray, keys: np.ndarray, counts: np.ndarray, horizon: n
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, max_bytes=1 << 20):
                 words = Words(part.column("text"))
                 found = signatures(*counted(*shingles(words, size)), len(part))
                 bands = np.zeros((len(part), BANDS), U64)
@@ -117,7 +133,7 @@ def _sign(size: int):
                 size_of = np.where(words.counts > 0, BANDS, 0)
                 kept = bands[words.counts > 0].ravel()
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size_of)), pa.int32()), pa.array(signed(kept)))
-                yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("same"), lists, pa.array([x.tobytes() for x in short], pa.binary())], ["__id", "same", "bands", "marks"])
+                yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("node"), lists, pa.array([x.tobytes() for x in short], pa.binary())], ["__id", "node", "bands", "marks"])
 
     return run
 
@@ -147,23 +163,141 @@ def overlap(texts_a: pa.Array, texts_b: pa.Array, size: int) -> np.ndarray:
     return np.where(union > 0, common / np.maximum(union, 1), 1.0)
 
 
+def _pair_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in text_slices(batch, "ta", 1 << 20):
+            yield from text_slices(part, "tb", 1 << 20)
+
+
 def _verify(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, "ta"):
-                for one in text_slices(part, "tb"):
-                    yield pa.RecordBatch.from_arrays([one.column("a"), one.column("b"), pa.array(overlap(one.column("ta"), one.column("tb"), size))], ["a", "b", "similarity"])
+        for one in _pair_slices(batches):
+            yield pa.RecordBatch.from_arrays([one.column("a"), one.column("b"), pa.array(overlap(one.column("ta"), one.column("tb"), size))], ["a", "b", "similarity"])
 
     return run
 
 
-def _links(pairs: DataFrame, signs: DataFrame, texts: DataFrame, size: int, threshold: float, doubt: float) -> DataFrame:
-    """The pairs (a, b) that are similar enough, with their similarity."""
-    marks = signs.select("__id", "marks")
-    likely = pairs.join(marks.select(F.col("__id").alias("a"), F.col("marks").alias("ma")), "a").join(marks.select(F.col("__id").alias("b"), F.col("marks").alias("mb")), "b")
-    likely = likely.select("a", "b", "ma", "mb").mapInArrow(_agreement, "a long, b long, agree double").where(F.col("agree") >= threshold - doubt).select("a", "b").distinct()
-    with_text = likely.join(texts.select(F.col("__id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("__id").alias("b"), F.col("text").alias("tb")), "b")
-    return with_text.select("a", "b", "ta", "tb").mapInArrow(_verify(size), "a long, b long, similarity double").where(F.col("similarity") >= threshold)
+def units(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, name) of each run, the k-th of equal ones with a name of its own: a multiset as a set."""
+    docs, keys, counts = counted(*shingles(Words(texts), size))
+    at = np.repeat(np.arange(len(keys)), counts)
+    k = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return docs[at], mix(keys[at] + k.astype(U64) * U64(0xD6E8FEB86659FD93), 80)
+
+
+def reach(n_centre: np.ndarray, n: np.ndarray, differ: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many of a member's least differences (i) any partner and (ii) a member far from the centre must offer.
+
+    Texts x and y of n_x and n_y runs are similar enough if at most q (n_x + n_y) runs are in one of them alone, where
+    q = (1 - t) / (1 + t).  With D the differences from the centre, these runs are D_x + D_y - 2 I, I being common to both.
+    Let y be far from the centre: D_y > q (n_c + n_y).  Then 2 I > D_x + q (n_c - n_x), so I > (D_x + q (n_c - n_x)) / 2 for
+    any x.  As I <= D_x and n_x <= n_c + D_x, also (1 + q) I >= D_y - q (n_c + n_y).  Sets that share I or more of D elements
+    have one in common among the first D - I + 1 of each, in any order.  (ii) is 0 for members near the centre.
+    """
+    q = (1 - threshold) / (1 + threshold)
+    slack = 1e-9 * (n_centre + n + 1)
+    least = np.floor((differ + q * (n_centre - n)) / 2 - slack) + 1
+    any_x = differ - np.maximum(least, 1) + 1
+    beyond = differ - q * (n_centre + n)
+    far = np.where(beyond > -slack, differ - np.maximum(np.ceil(beyond / (1 + q) - slack), 1) + 1, 0)
+    return np.clip(any_x, 0, differ).astype(np.int64), np.clip(far, 0, differ).astype(np.int64)
+
+
+def _differences(size: int, threshold: float):
+    """For each (centre a, member b) all differences, and how many of the first ones serve either part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in _pair_slices(batches):
+            (da, ka), (db, kb) = (units(one.column(c), size) for c in ("ta", "tb"))
+            docs, keys = np.concatenate((da, db)), np.concatenate((ka, kb))
+            order = np.lexsort((keys, docs))
+            docs, keys = docs[order], keys[order]
+            twin = np.zeros(len(keys) + 1, bool)
+            twin[1:-1] = (keys[1:] == keys[:-1]) & (docs[1:] == docs[:-1])
+            single = np.flatnonzero(~twin[1:] & ~twin[:-1])
+            docs, keys = docs[single], keys[single]
+            n_centre, n, differ = (np.bincount(x, minlength=len(one)) for x in (da, db, docs))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(differ)), pa.int32()), pa.array(signed(keys)))
+            yield pa.RecordBatch.from_arrays([one.column("a"), one.column("b"), lists, *map(pa.array, reach(n_centre, n, differ, threshold))], ["a", "b", "runs", "any_x", "far"])
+
+    return run
+
+
+class _Graph:
+    """Texts (nodes are 16 bytes of their SHA-256), the links found between them, and their classes."""
+
+    def __init__(self, store: Stored, texts: DataFrame, signs: DataFrame, links: DataFrame, size: int, threshold: float, doubt: float) -> None:
+        self.store, self.texts, self.signs = store, texts, signs
+        self.size, self.threshold, self.doubt = size, threshold, doubt
+        self.links, self.n = links, 0
+        self.classes = self._classes()
+
+    def _classes(self) -> DataFrame:
+        found = connected_components(self.links, "a", "b").select("node", F.col("component").alias("class"))
+        return self.store.put(found, f"classes{self.n}")
+
+    def _with_texts(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, ta, tb); the text of an ``a`` with many partners is sent to several tasks."""
+        salts = pairs.groupBy("a").agg((F.floor(F.count("*") / SALTED) + 1).cast("int").alias("salts"))
+        first = self.texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).join(salts, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        salted = split_join(pairs, salts.withColumn("n", F.col("salts").cast("long") * SALTED), ["a"], "n", pairs.count()).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+        second = salted.join(self.texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        return second.join(first.drop("salts"), ["a", "salt"]).select("a", "b", "ta", "tb")
+
+    def compare(self, pairs: DataFrame, name: str) -> None:
+        """Add the links among the pairs (a, b)."""
+        marks = self.signs.select("node", "marks")
+        likely = pairs.join(marks.select(F.col("node").alias("a"), F.col("marks").alias("ma")), "a").join(marks.select(F.col("node").alias("b"), F.col("marks").alias("mb")), "b")
+        likely = likely.select("a", "b", "ma", "mb").mapInArrow(_agreement, "a binary, b binary, agree double").where(F.col("agree") >= self.threshold - self.doubt).select("a", "b")
+        likely = self.store.put(likely, f"likely-{name}")
+        if likely.isEmpty():
+            return
+        found = self._with_texts(likely).mapInArrow(_verify(self.size), "a binary, b binary, similarity double").where(F.col("similarity") >= self.threshold)
+        found = self.store.put(found.select("a", "b"), f"links-{name}")
+        if found.isEmpty():
+            return
+        self.links = self.links.unionByName(found)
+        self.n += 1
+        self.classes = self._classes()
+
+    def _mixed(self, buckets: DataFrame, name: str) -> DataFrame:
+        """The buckets' texts with their classes, where a bucket holds several classes and a text far from its origin."""
+        placed = buckets.join(self.classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        placed = self.store.put(placed, f"placed-{name}")
+        groups = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("far").alias("any"), F.count("*").alias("n"), F.max(F.struct("score", "node", "class", "far")).alias("centre"))
+        groups = groups.where("low < high and any").select("key", "n", F.col("n").alias("members"), "centre")
+        return self.store.put(split_join(placed, groups, ["key"], "n", placed.count()), f"mixed-{name}")
+
+    def resolve(self, buckets: DataFrame, name: str, deeper: bool) -> None:
+        """Find the links within buckets: (key, node, score, x, far); a bucket's centre has the greatest score.
+
+        A pair of texts of different classes is wanted if one of both is ``x`` and the other ``far``.
+        """
+        stars = self._mixed(buckets, f"{name}-stars").where("class <> centre.class and (far or centre.far)")
+        self.compare(self.store.put(stars.select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct(), f"stars-{name}"), f"stars-{name}")
+        mixed = self._mixed(buckets, name).where("node <> centre.node")
+        sides = mixed.where(F.col("members") <= SMALL) if deeper else mixed
+        x = sides.where("x").select("key", F.col("node").alias("p"), F.col("class").alias("cp"))
+        y = sides.where("far").select("key", F.col("node").alias("q"), F.col("class").alias("cq"))
+        across = x.join(y, "key").where("p <> q and cp <> cq").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+        self.compare(self.store.put(across, f"across-{name}"), f"across-{name}")
+        if not deeper:
+            return
+        large = mixed.where(F.col("members") > SMALL).select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct()
+        large = self.store.put(large, f"large-{name}")
+        if large.isEmpty():
+            return
+        differ = self._with_texts(large).mapInArrow(_differences(self.size, self.threshold), "a binary, b binary, runs array<long>, any_x long, far long")
+        differ = self.store.put(differ, f"differ-{name}")
+        runs = differ.select("a", F.explode("runs").alias("run")).groupBy("a", "run").agg(F.count("*").alias("n")).where("n > 1").select("a", "run", "n", F.col("n").alias("members"))
+        each = differ.select("a", "b", F.size("runs").alias("all"), "any_x", F.col("far").alias("reach"), F.explode("runs").alias("run"))
+        shared = split_join(each, self.store.put(runs, f"runs-{name}"), ["a", "run"], "n", differ.agg(F.sum(F.size("runs"))).head()[0] or 0)
+        # differences of one member alone come first; the others by how many have them
+        mine = Window.partitionBy("a", "b")
+        place = F.col("all") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("members", "run")) - 1
+        parts = shared.withColumn("at", place).select(F.xxhash64("a", "run").alias("key"), F.col("b").alias("node"), (F.col("at") < F.col("any_x")).alias("x"), (F.col("at") < F.col("reach")).alias("far"))
+        parts = parts.where("x or far").join(mixed.select("node", "score").distinct(), "node")
+        self.resolve(self.store.put(parts, f"parts-{name}"), f"{name}-deeper", False)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, doubt: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,41 +310,43 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, doub
     store = Stored(spark, "near")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = rows.where("__id is not null").withColumn("same", F.sha2(F.col("text"), 256))
-    signed_rows = store.put(known.select("__id", "same", "text").mapInArrow(_sign(size), "__id long, same string, bands array<long>, marks binary"), "signs")
-
-    first = signed_rows.groupBy("same").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last"))
-    copies = signed_rows.select("__id", "same").join(first.where("__first < __last"), "same").where("__id > __first").select(F.col("__first").alias("a"), F.col("__id").alias("b")).distinct()
-    copies = store.put(copies, "copies")
-    own = signed_rows.join(copies, signed_rows["__id"] == copies["b"], "left_anti")
+    known = rows.where("__id is not null").withColumn("node", F.substring(F.unhex(F.sha2(F.col("text"), 256)), 1, 16))
+    signs = store.put(known.select("__id", "node", "text").mapInArrow(_sign(size), "__id long, node binary, bands array<long>, marks binary"), "signs")
+    total = signs.count()
+    owners = store.put(signs.groupBy("node").agg(F.min("__id").alias("__id"), F.count("*").alias("n")), "owners")
+
+    # texts of one id are in one class
+    nodes = signs.select("__id", "node").distinct()
+    several = nodes.groupBy("__id").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high")
+    several = store.put(several, "several")
+    siblings = split_join(signs.select("__id", "node"), several.select("__id", "low", "n"), ["__id"], "n", total).where("node <> low")
+    links = store.put(siblings.select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "siblings")
 
     # buckets of two texts or more
-    banded = own.select("__id", F.explode("bands").alias("band"))
-    many = banded.groupBy("band").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).where("least < most").select("band", "least")
-    buckets = store.put(banded.join(many, "band").select("band", "least", "__id").distinct(), "buckets")
-    needed = buckets.select("__id").distinct()
-    texts = store.put(known.join(needed, "__id").select("__id", "text").distinct(), "texts")
-    signs = store.put(own.join(needed, "__id", "left_semi").select("__id", "marks").distinct(), "marks")
-
-    stars = buckets.where("__id > least").select(F.col("least").alias("a"), F.col("__id").alias("b")).distinct()
-    links = store.put(_links(stars, signs, texts, size, threshold, doubt), "links1")
-    classes = store.put(connected_components(links.select("a", "b"), "a", "b"), "classes1")
-
-    # members of different classes of one bucket; those in a bucket of one class are done
-    placed = buckets.join(classes.withColumnRenamed("node", "__id"), "__id", "left").select("band", "__id", F.coalesce("component", "__id").alias("class"))
-    mixed = placed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band")
-    placed = store.put(placed.join(mixed, "band"), "placed")
-    a, b = (placed.select("band", F.col("__id").alias(x), F.col("class").alias(f"c{x}")) for x in ("a", "b"))
-    across = a.join(b, "band").where("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = store.put(_links(across, signs, texts, size, threshold, doubt), "links2")
-
-    all_links = copies.unionByName(links.select("a", "b")).unionByName(more.select("a", "b"))
-    final = connected_components(all_links, "a", "b").select(F.col("node").alias("__id"), "component")
-    out = rows.select("__id").join(final, "__id", "left").withColumn("class_id", F.coalesce("component", "__id"))
+    banded = signs.select("node", F.explode("bands").alias("key"))
+    many = banded.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least < most").select("key", "n", F.col("n").alias("weight"))
+    buckets = store.put(split_join(banded, store.put(many, "many"), ["key"], "n", BANDS * total).distinct(), "buckets")
+    scores = buckets.groupBy("node").agg(F.sum("weight").alias("score"))
+    needed = owners.join(buckets.select("node").distinct(), "node").select("__id", "node")
+    needed = store.put(needed, "needed")
+    texts = store.put(known.join(needed, ["__id", "node"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    marks = store.put(signs.join(needed, ["__id", "node"]).select("node", "marks").dropDuplicates(["node"]), "marks")
+
+    graph = _Graph(store, texts, marks, links, size, threshold, doubt)
+    graph.resolve(buckets.join(scores, "node").select("key", "node", "score", F.lit(True).alias("x"), F.lit(True).alias("far")), "bands", True)
+
+    # the least id of each class; a text without links is its own class
+    held = store.put(owners.join(graph.classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "held")
+    least = held.groupBy("class").agg(F.min("__id").alias("class_id"), F.count("*").alias("texts"))
+    classed = store.put(split_join(held, least, ["class"], "texts", total).select("node", "class_id", "n"), "classed")
+    found = split_join(signs.select("__id", "node"), classed, ["node"], "n", total).select("__id", "class_id")
+    out = found.unionByName(rows.where("__id is null").select("__id", F.lit(None).cast("long").alias("class_id")))
     return out.select(F.col("__id").cast(kind).alias(id_col), F.col("class_id").cast(kind).alias("class_id"), F.coalesce(F.col("class_id") == F.col("__id"), F.lit(True)).alias("is_first"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each class, with all columns; of rows of one doc_id all stay."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("not is_first").select(F.col(id_col).cast("long").alias("__gone")).distinct()
-    return docs.join(found, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """One document of each class, with all columns; of rows of one doc_id all stay, and so do rows without an id."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("not is_first").select(F.col(id_col).cast("long").alias("__id")).distinct()
+    # the documents go through as one struct, so their columns' names cannot clash with those used here
+    keyed = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(id_col).cast("long").alias("__id"))
+    return keyed.join(found, "__id", "left_anti").select("__doc.*")
