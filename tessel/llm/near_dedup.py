@@ -15,8 +15,9 @@ different classes may still be linked past the centre:
 * in a larger one each member is reduced to its differences from the centre, the runs that only one of both has.  If
   neither text of a pair lies with the centre, or only one does, the pair can be similar enough only if both share a
   certain number of differences (``reach``), so their first differences, those that few members have before those that
-  many have, have one in common: prefix filtering.  Members with a common difference make up smaller buckets, which go the
-  same way once more.
+  many have, have one in common: prefix filtering.  Members with such a difference in common make up smaller buckets.  A pair in
+  one is compared if its sizes and the places of the common difference leave room for enough common ones; where such a
+  bucket is large itself, its members are compared with its centre before others are.
 
 So no pairs within a class are formed, no link is lost that shares a band, and the pairs that are compared are few where
 copies differ from their origin each in its own way.  Whole copies are one text.
@@ -29,6 +30,7 @@ rows; extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +48,7 @@ REGISTERS = BANDS * ROWS
 #: Buckets of up to this many texts are compared pair by pair.
 SMALL = 32
 #: Pairs of one text with more others than this are dealt to several tasks.
-SALTED = 500
+SALTED = 20_000
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,86 +220,112 @@ def _differences(size: int, threshold: float):
             docs, keys = docs[single], keys[single]
             n_centre, n, differ = (np.bincount(x, minlength=len(one)) for x in (da, db, docs))
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(differ)), pa.int32()), pa.array(signed(keys)))
-            yield pa.RecordBatch.from_arrays([one.column("a"), one.column("b"), lists, *map(pa.array, reach(n_centre, n, differ, threshold))], ["a", "b", "runs", "any_x", "far"])
+            yield pa.RecordBatch.from_arrays([one.column("a"), one.column("b"), lists, *map(pa.array, (n, *reach(n_centre, n, differ, threshold)))], ["a", "b", "runs", "n", "any_x", "far"])
 
     return run
 
 
 class _Graph:
-    """Texts (nodes are 16 bytes of their SHA-256), the links found between them, and their classes."""
+    """Texts (nodes are 16 bytes of their SHA-256), the links found between them, and classes of linked ones."""
 
     def __init__(self, store: Stored, texts: DataFrame, signs: DataFrame, links: DataFrame, size: int, threshold: float, doubt: float) -> None:
-        self.store, self.texts, self.signs = store, texts, signs
+        self.store, self.texts, self.signs, self.links = store, texts, signs, links
         self.size, self.threshold, self.doubt = size, threshold, doubt
-        self.links, self.n = links, 0
-        self.classes = self._classes()
-
-    def _classes(self) -> DataFrame:
-        found = connected_components(self.links, "a", "b").select("node", F.col("component").alias("class"))
-        return self.store.put(found, f"classes{self.n}")
 
     def _with_texts(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, ta, tb); the text of an ``a`` with many partners is sent to several tasks."""
-        salts = pairs.groupBy("a").agg((F.floor(F.count("*") / SALTED) + 1).cast("int").alias("salts"))
-        first = self.texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).join(salts, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        salted = split_join(pairs, salts.withColumn("n", F.col("salts").cast("long") * SALTED), ["a"], "n", pairs.count()).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-        second = salted.join(self.texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return second.join(first.drop("salts"), ["a", "salt"]).select("a", "b", "ta", "tb")
+        """(a, b, ta, tb) of stored pairs; the text of an ``a`` with many partners is sent to several tasks."""
+        first = self.texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+        second = pairs.join(self.texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        many = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= SALTED)
+        if many.isEmpty():
+            return second.join(first, "a").select("a", "b", "ta", "tb")
+        # at most one in SALTED pairs is in this table
+        salts = self.store.put(many.select("a", "n", (F.floor(F.col("n") / SALTED) + 1).cast("int").alias("salts")), f"salts-{uuid.uuid4().hex}")
+        first = first.join(salts.select("a", "salts"), "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+        dealt = pairs.join(salts.select("a"), "a", "left_anti").withColumn("salt", F.lit(0))
+        dealt = dealt.unionByName(split_join(pairs, salts, ["a"], "n", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")))
+        second = dealt.join(second.select("a", "b", "tb"), ["a", "b"])
+        return second.join(first.select("a", "salt", "ta"), ["a", "salt"]).select("a", "b", "ta", "tb")
 
     def compare(self, pairs: DataFrame, name: str) -> None:
-        """Add the links among the pairs (a, b)."""
+        """Add the links among the stored pairs (a, b)."""
         marks = self.signs.select("node", "marks")
         likely = pairs.join(marks.select(F.col("node").alias("a"), F.col("marks").alias("ma")), "a").join(marks.select(F.col("node").alias("b"), F.col("marks").alias("mb")), "b")
         likely = likely.select("a", "b", "ma", "mb").mapInArrow(_agreement, "a binary, b binary, agree double").where(F.col("agree") >= self.threshold - self.doubt).select("a", "b")
         likely = self.store.put(likely, f"likely-{name}")
-        if likely.isEmpty():
-            return
         found = self._with_texts(likely).mapInArrow(_verify(self.size), "a binary, b binary, similarity double").where(F.col("similarity") >= self.threshold)
-        found = self.store.put(found.select("a", "b"), f"links-{name}")
-        if found.isEmpty():
-            return
-        self.links = self.links.unionByName(found)
-        self.n += 1
-        self.classes = self._classes()
+        self.links = self.links.unionByName(self.store.put(found.select("a", "b"), f"links-{name}"))
 
     def _mixed(self, buckets: DataFrame, name: str) -> DataFrame:
-        """The buckets' texts with their classes, where a bucket holds several classes and a text far from its origin."""
-        placed = buckets.join(self.classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        """The rows of buckets that hold texts of several classes, with each text's class, the bucket's size and centre.
+
+        Classes are the least text by two rounds of passing it on along links.  Texts of one such class are linked, and
+        those that a centre links are in one; a class may have several labels, which costs comparisons but no link.
+        """
+        edges = self.store.put(self.links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(self.links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), f"edges-{name}")
+        least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"))
+        labels = edges.join(least.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("least").alias("class")).withColumnRenamed("u", "node")
+        placed = buckets.join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
         placed = self.store.put(placed, f"placed-{name}")
-        groups = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("far").alias("any"), F.count("*").alias("n"), F.max(F.struct("score", "node", "class", "far")).alias("centre"))
-        groups = groups.where("low < high and any").select("key", "n", F.col("n").alias("members"), "centre")
+        groups = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"), F.max(F.struct("score", "node")).alias("top"))
+        groups = groups.where("low < high").select("key", "n", F.col("n").alias("members"), F.col("top.node").alias("centre"))
         return self.store.put(split_join(placed, groups, ["key"], "n", placed.count()), f"mixed-{name}")
 
-    def resolve(self, buckets: DataFrame, name: str, deeper: bool) -> None:
-        """Find the links within buckets: (key, node, score, x, far); a bucket's centre has the greatest score.
+    def resolve(self, buckets: DataFrame) -> None:
+        """Find the links within buckets (key, node, score); a bucket's centre has the greatest score."""
+        tops = buckets.groupBy("key").agg(F.max(F.struct("score", "node")).alias("top"), F.count("*").alias("n")).select("key", "n", F.col("top.node").alias("centre"))
+        stars = split_join(buckets, tops, ["key"], "n", buckets.count()).where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+        self.compare(self.store.put(stars, "stars"), "stars")
 
-        A pair of texts of different classes is wanted if one of both is ``x`` and the other ``far``.
-        """
-        stars = self._mixed(buckets, f"{name}-stars").where("class <> centre.class and (far or centre.far)")
-        self.compare(self.store.put(stars.select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct(), f"stars-{name}"), f"stars-{name}")
-        mixed = self._mixed(buckets, name).where("node <> centre.node")
-        sides = mixed.where(F.col("members") <= SMALL) if deeper else mixed
-        x = sides.where("x").select("key", F.col("node").alias("p"), F.col("class").alias("cp"))
-        y = sides.where("far").select("key", F.col("node").alias("q"), F.col("class").alias("cq"))
-        across = x.join(y, "key").where("p <> q and cp <> cq").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        self.compare(self.store.put(across, f"across-{name}"), f"across-{name}")
-        if not deeper:
-            return
-        large = mixed.where(F.col("members") > SMALL).select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct()
-        large = self.store.put(large, f"large-{name}")
+        mixed = self._mixed(buckets, "buckets").where("node <> centre")
+        p, q = (mixed.where(F.col("members") <= SMALL).select("key", F.col("node").alias(x), F.col("class").alias(f"c{x}")) for x in ("a", "b"))
+        across = p.join(q, "key").where("a < b and ca <> cb").select("a", "b")
+        large = self.store.put(mixed.where(F.col("members") > SMALL).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "large")
         if large.isEmpty():
+            self.compare(self.store.put(across.distinct(), "across"), "across")
             return
-        differ = self._with_texts(large).mapInArrow(_differences(self.size, self.threshold), "a binary, b binary, runs array<long>, any_x long, far long")
-        differ = self.store.put(differ, f"differ-{name}")
-        runs = differ.select("a", F.explode("runs").alias("run")).groupBy("a", "run").agg(F.count("*").alias("n")).where("n > 1").select("a", "run", "n", F.col("n").alias("members"))
-        each = differ.select("a", "b", F.size("runs").alias("all"), "any_x", F.col("far").alias("reach"), F.explode("runs").alias("run"))
-        shared = split_join(each, self.store.put(runs, f"runs-{name}"), ["a", "run"], "n", differ.agg(F.sum(F.size("runs"))).head()[0] or 0)
+        parts = self._mixed(self._parts(large, mixed), "parts")
+        few, many = parts.where(F.col("members") <= SMALL), parts.where(F.col("members") > SMALL)
+        centres = many.where("node = centre").select("key", *(F.col(c).alias(f"{c}_y") for c in _PART))
+        first = self._qualified(many.where("node <> centre").select("key", *_PART).join(centres, "key"))
+        pairs = across.unionByName(self._pairs(few)).unionByName(first)
+        self.compare(self.store.put(pairs.distinct(), "across"), "across")
+
+        many = self._mixed(many.drop("class", "members", "centre"), "rest").where("node <> centre")
+        if not many.isEmpty():
+            self.compare(self.store.put(self._pairs(many).distinct(), "rest"), "rest")
+
+    def _parts(self, large: DataFrame, mixed: DataFrame) -> DataFrame:
+        """Members (b) of large buckets by their first differences from the centre (a): key, node, score and ``_PART``."""
+        differ = self._with_texts(large).mapInArrow(_differences(self.size, self.threshold), "a binary, b binary, runs array<long>, n long, any_x long, far long")
+        differ = self.store.put(differ, "differ")
+        runs = differ.select("a", F.explode("runs").alias("run")).groupBy("a", "run").agg(F.count("*").alias("n")).where("n > 1").select("a", "run", F.col("n").alias("rows"), F.col("n").alias("common"))
+        each = differ.select("a", "b", "n", F.size("runs").alias("d"), "any_x", "far", F.explode("runs").alias("run"))
+        shared = split_join(each, self.store.put(runs, "runs"), ["a", "run"], "rows", differ.agg(F.sum(F.size("runs"))).head()[0] or 0)
         # differences of one member alone come first; the others by how many have them
         mine = Window.partitionBy("a", "b")
-        place = F.col("all") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("members", "run")) - 1
-        parts = shared.withColumn("at", place).select(F.xxhash64("a", "run").alias("key"), F.col("b").alias("node"), (F.col("at") < F.col("any_x")).alias("x"), (F.col("at") < F.col("reach")).alias("far"))
-        parts = parts.where("x or far").join(mixed.select("node", "score").distinct(), "node")
-        self.resolve(self.store.put(parts, f"parts-{name}"), f"{name}-deeper", False)
+        place = F.col("d") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("common", "run")) - 1
+        parts = shared.withColumn("at", place).select(F.xxhash64("a", "run").alias("key"), F.col("b").alias("node"), "n", "d", "at", (F.col("at") < F.col("any_x")).alias("x"), (F.col("at") < F.col("far")).alias("far"))
+        return parts.where("x or far").join(mixed.select("node", "score").distinct(), "node")
+
+    def _pairs(self, parts: DataFrame) -> DataFrame:
+        """Pairs (a, b) of texts of different classes in a bucket of differences that can be similar enough."""
+        mine = parts.select("key", *_PART)
+        return self._qualified(mine.join(mine.select("key", *(F.col(c).alias(f"{c}_y") for c in _PART)), "key").where("node < node_y"))
+
+    def _qualified(self, pairs: DataFrame) -> DataFrame:
+        """Those in which one is far, classes differ, and as many differences may be common as must be.
+
+        At the first difference in order that both have, no more than what follows in either can be common.
+        """
+        q = (1 - self.threshold) / (1 + self.threshold)
+        enough = F.least(F.col("d") - F.col("at"), F.col("d_y") - F.col("at_y")) >= (F.col("d") + F.col("d_y") - q * (F.col("n") + F.col("n_y"))) / 2 - 1e-6
+        pairs = pairs.where(enough & (F.col("class") != F.col("class_y"))).where("x and far_y or far and x_y")
+        return pairs.select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b"))
+
+
+#: What a part says of a text: its class, runs, differences, the place of this difference, and which sides it can take.
+_PART = ("node", "class", "n", "d", "at", "x", "far")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, doubt: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,10 +361,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, doub
     marks = store.put(signs.join(needed, ["__id", "node"]).select("node", "marks").dropDuplicates(["node"]), "marks")
 
     graph = _Graph(store, texts, marks, links, size, threshold, doubt)
-    graph.resolve(buckets.join(scores, "node").select("key", "node", "score", F.lit(True).alias("x"), F.lit(True).alias("far")), "bands", True)
+    graph.resolve(store.put(buckets.join(scores, "node").select("key", "node", "score"), "scored"))
+    classes = connected_components(graph.links, "a", "b").select("node", F.col("component").alias("class"))
 
     # the least id of each class; a text without links is its own class
-    held = store.put(owners.join(graph.classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "held")
+    held = store.put(owners.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "held")
     least = held.groupBy("class").agg(F.min("__id").alias("class_id"), F.count("*").alias("texts"))
     classed = store.put(split_join(held, least, ["class"], "texts", total).select("node", "class_id", "n"), "classed")
     found = split_join(signs.select("__id", "node"), classed, ["node"], "n", total).select("__id", "class_id")
@@ -348,5 +377,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One document of each class, with all columns; of rows of one doc_id all stay, and so do rows without an id."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("not is_first").select(F.col(id_col).cast("long").alias("__id")).distinct()
     # the documents go through as one struct, so their columns' names cannot clash with those used here
-    keyed = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(id_col).cast("long").alias("__id"))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"), F.col(id_col).cast("long").alias("__id"))
     return keyed.join(found, "__id", "left_anti").select("__doc.*")
