@@ -7,8 +7,10 @@ placed first-fit by decreasing length.  The program sees the histogram alone, wh
 Pieces are ranked within their length by (length, salt) groups, and a piece's rank names its pattern's copy, which is its
 sequence.
 
-Defined cases: null and empty texts are the end id alone; rows of one doc_id are packed each on its own; a null doc_id
-is kept as null; extra columns are ignored; an empty table has no pieces.
+Defined cases: null and empty texts are the end id alone; texts that spell a special token have its id, as in the
+library; rows of one doc_id, equal ones too, are packed each on its own; a null doc_id is kept as null; a very long text
+is as many whole sequences as it fills and one rest; of pieces of one length those of lesser (salt, doc_id, start) come
+into earlier sequences, and which of two equal rows does is open; extra columns are ignored; an empty table has no pieces.
 """
 
 from __future__ import annotations

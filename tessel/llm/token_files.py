@@ -10,9 +10,10 @@ Documents ascend by doc_id within a block and over the blocks of a table.  One d
 and one frame.  Blocks are rows of a Parquet table beside the dictionary's table, so they go through Spark's own writers:
 any store that Spark can reach holds them, and a lost task writes its blocks again.
 
-Defined cases: null and empty texts have the end id alone; rows of one doc_id are ordered by their texts; a null doc_id
-comes before all others and is kept as null (index value -2**63); extra columns are ignored; an empty table
-makes an empty token table.
+Defined cases: null and empty texts have the end id alone; texts that spell a special token have its id, as in the
+library; rows of one doc_id are ordered by a hash of their texts and then by the texts, and so may lie in several blocks,
+however many there are; equal rows are all written; a null doc_id comes before all others and is kept as null (index
+value -2**63); a very long text is one frame; extra columns are ignored; an empty table makes an empty token table.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ class Block:
 def train_dictionary(samples: list[bytes], size: int) -> bytes:
     """A dictionary trained on the samples; too few of them make a plain one of their bytes."""
     try:
-        return zstandard.train_dictionary(size, samples, threads=1).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=512, d=8).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:] or b"\0" * 8
 
@@ -107,11 +108,13 @@ def _sample(path: str, end_id: int, longest: int):
 
 def _blocks(path: str, end_id: int, raw: bytes, level: int):
     def run(batches):
-        tool = _dictionary(raw)
+        tool, inside = _dictionary(raw), 0
         for part, ids, offsets in _encoded(path, end_id, batches):
             doc_ids = part.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
             block = write_block(doc_ids, ids, offsets, tool, level)
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids[:1]), pa.array([len(part)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([block], pa.large_binary() if len(block) > 1 << 30 else pa.binary())], ["first_id", "n_docs", "n_ids", "block"])
+            row = [pa.array(doc_ids[:1]), *(pa.array([x], pa.int64()) for x in (len(part), len(ids), inside)), pa.array([block], pa.large_binary() if len(block) > 1 << 30 else pa.binary())]
+            yield pa.RecordBatch.from_arrays(row, ["first_id", "n_docs", "n_ids", "inside", "block"])
+            inside += len(ids)
 
     return run
 
@@ -119,21 +122,20 @@ def _blocks(path: str, end_id: int, raw: bytes, level: int):
 def write_token_table(docs: DataFrame, to: str, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", dictionary_size: int = 112_640, sample_docs: int = 2000, sample_ids: int = 4096, level: int = 3) -> None:
     """Write ``to/dictionary`` and ``to/blocks``.
 
-    The dictionary alone is trained on a bounded sample: about ``sample_docs`` documents, chosen by a hash of their id,
-    with at most ``sample_ids`` ids of each.  Every document is written.
+    The dictionary alone is trained on a bounded sample: the ``sample_docs`` rows of least hash, with at most
+    ``sample_ids`` ids of the first 16 ``sample_ids`` characters of each.  Every document is written.
     """
     path = tokenizer or default_path()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = docs.count()
-    share = min(1 << 30, -(-sample_docs * (1 << 30) // max(n, 1)))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
-    samples = [bytes(r.ids) for r in chosen.mapInArrow(_sample(path, end_id, sample_ids), "ids binary").limit(2 * sample_docs).collect()]
+    chosen = rows.select(F.substring("text", 1, 16 * sample_ids).alias("text"), F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(sample_docs)
+    samples = [bytes(r.ids) for r in chosen.select("text").mapInArrow(_sample(path, end_id, sample_ids), "ids binary").collect()]
     raw = train_dictionary(sorted(samples), dictionary_size)
     spark = docs.sparkSession
     spark.createDataFrame([(hashlib.sha256(raw).hexdigest(), raw)], "sha256 string, dictionary binary").coalesce(1).write.mode("overwrite").parquet(f"{to}/dictionary")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    blocks = ordered.mapInArrow(_blocks(path, end_id, raw, level), "first_id long, n_docs long, n_ids long, block binary")
-    blocks = blocks.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id())
+    # the hash lets many rows of one doc_id be dealt to several tasks
+    ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
+    blocks = ordered.mapInArrow(_blocks(path, end_id, raw, level), "first_id long, n_docs long, n_ids long, inside long, block binary")
+    blocks = blocks.withColumn("part", F.spark_partition_id())
     blocks.write.mode("overwrite").option("compression", "none").parquet(f"{to}/blocks")
 
 
@@ -148,7 +150,7 @@ def _read(raw: bytes, with_ids: bool):
     def run(batches):
         tool = _dictionary(raw)
         for batch in batches:
-            for base, place, data in zip(batch.column("base").to_pylist(), batch.column("place").to_pylist(), batch.column("block"), strict=True):
+            for base, data in zip(batch.column("base").to_pylist(), batch.column("block"), strict=True):
                 block = Block(data.as_py(), tool)
                 n = block.index[:, 1]
                 raws = [block.raw(i) for i in range(len(block))]
@@ -166,24 +168,17 @@ def _read(raw: bytes, with_ids: bool):
 def read_token_table(spark: SparkSession, at: str, with_ids: bool = False) -> DataFrame:
     """Per document, in the file's order: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 [, ids].
 
-    A block's base is the sum of what the partitions before wrote and of the blocks before it in its own: one small row
-    per partition is summed in a single task, never one per document or block.
+    A block knows the ids before it in its own partition.  What the partitions before wrote is one small row per task of
+    the stage that wrote the table, however many documents there are: these rows alone are summed and broadcast.
     """
     raw = read_dictionary(spark, at)
     blocks = spark.read.parquet(f"{at}/blocks")
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = parts.select(F.col("part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    inside = blocks.select("place", "part", "n_ids").withColumn("inside", F.sum("n_ids").over(Window.partitionBy("part").orderBy("place")) - F.col("n_ids"))
-    bases = inside.join(before, "part").select(F.col("place").alias("at_place"), (F.col("inside") + F.col("before")).alias("base"))
-    rows = blocks.join(F.broadcast(bases) if _few(blocks) else bases, blocks.place == bases.at_place).select("base", "place", "block")
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    rows = blocks.join(F.broadcast(before), "part").select((F.col("inside") + F.col("before")).alias("base"), "block")
     return rows.mapInArrow(_read(raw, with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def _few(blocks: DataFrame, most: int = 200_000) -> bool:
-    """Whether the blocks' bases (16 bytes each) are few enough to be sent to every executor; else they are joined."""
-    return blocks.count() <= most
-
-
 def token_digest(docs: DataFrame, **options) -> DataFrame:
     """Write a token table in the shared folder and read it back."""
     store = Stored(docs.sparkSession, "tokens")
