@@ -1,15 +1,20 @@
 """Substring dedup by recompression.
 
 A window is ``window`` consecutive words.  A word goes when a window over it also starts in a document with a smaller
-doc_id.  Rounds of recompression name runs and pairs of symbols by hashes of their content, so the names are the same in
-every document without any exchange.  Only symbols that are still short may merge, so what a symbol's border depends on
-is bounded (``REACH`` words on each side) and equal windows have equal borders inside.  Of the borders in the middle of
-a window the one with the least name is the window's anchor: equal windows have equal anchors.  Only documents that
-share anchors with others are looked at again; there, the names of whole windows decide.
+doc_id.  Rounds of recompression name runs and pairs of symbols: a name is a hash of its parts, the same in every document.
+Only symbols that are still short may merge, so what a symbol depends on is bounded (``REACH`` words on each side), and
+equal windows are made of equal symbols inside.
+
+* Reveal: the least name of ``CHAIN`` consecutive symbols inside a window is its anchor, so equal windows have equal
+  anchors.  Documents that share anchors with others, and these only, are looked at again.
+* Verify: a window with a shared anchor is named by the symbols inside it and the words on either side of them.  Equal
+  names stand for equal words, as long as no name stands for two things: all symbols of such windows are put into one
+  dictionary (name, parts) over all documents, and where it has a name twice, all is done again with other names.
 
 Defined cases: null and empty texts have no words; documents shorter than a window keep every word; rows with a null
 doc_id neither lose words nor cause others to; rows that are alike in doc_id are one document only if their texts are
-equal, and never take words from each other; extra columns are ignored.
+equal, and never take words from each other; equal rows lose the same words; of equal windows the least doc_id stays;
+very long texts are read whole; an empty table has no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Stored
+from .skew import split_join
 from .textscan import U64, Rolling, Words, mix, signed, text_slices, window_starts
 
 #: (longest symbol that may merge, whether runs are named first, rounds of pairs)
@@ -33,72 +39,128 @@ LONGEST = 8
 NONE = U64(0xFFFFFFFFFFFFFFFF)
 
 
-def recompress(names: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """The words at which the symbols of the last round begin."""
-    at, sym, size = np.arange(len(names)), names, np.ones(len(names), np.int64)
-    step = 0
-    for longest, runs, pairs in LEVELS:
-        if runs:
-            same = np.zeros(len(sym), bool)
-            same[1:] = (sym[1:] == sym[:-1]) & (docs[at[1:]] == docs[at[:-1]])
-            head = np.flatnonzero(~same)
-            count = np.diff(np.append(head, len(sym)))
-            short = (count > 1) & (size[head] <= longest) & (size[head] * count <= 2 * longest)
-            keep = ~same
-            keep[np.repeat(~short, count)] = True  # longer runs stay spelled out
-            group = np.cumsum(keep) - 1
-            total = np.bincount(group, weights=size).astype(np.int64) if len(sym) else size
-            named = sym[keep]
-            new = group[head[short]]
-            named[new] = mix(named[new] + count[short].astype(U64), 11)
-            at, sym, size = at[keep], named, total
-        for _ in range(pairs):
-            step += 1
-            side = (mix(sym, 100 + step) & U64(1)).astype(bool)
-            fit = size <= longest
-            joins = np.zeros(len(sym), bool)  # the second of a pair
-            joins[1:] = ~side[:-1] & side[1:] & fit[:-1] & fit[1:] & (docs[at[1:]] == docs[at[:-1]])
-            second = np.flatnonzero(joins)
-            sym, size = sym.copy(), size.copy()
-            sym[second - 1] = mix(sym[second - 1] * U64(0x9E3779B97F4A7C15) + sym[second], 23)
-            size[second - 1] += size[second]
-            keep = ~joins
-            at, sym, size = at[keep], sym[keep], size[keep]
-    return at
-
-
-def window_anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Rolling]:
-    """Starts of all windows, their documents, their anchors' names, and the hasher of word runs."""
-    if window < 2 * REACH + LONGEST:
-        raise ValueError(f"windows of under {2 * REACH + LONGEST} words have no sure anchor")
-    names = words.names()
-    rolling = Rolling(names)
-    starts, docs = window_starts(words.doc_at, window)
-    if not len(starts):
-        return starts, docs, np.zeros(0, U64), rolling
-    borders = recompress(names, words.docs())
-    borders = borders[(borders >= REACH) & (borders + REACH <= len(names))]
-    least = np.full(len(names) + 1, NONE)
-    least[borders] = rolling.of(borders - REACH, 2 * REACH)
-    span = window - 2 * REACH + 1
-    reach = 1
-    while 2 * reach <= span:
-        least = np.minimum(least, np.append(least[reach:], np.full(reach, NONE)))
+#: Symbols that make up an anchor, fewer only where a window has no more.
+CHAIN = 4
+
+
+class Symbols:
+    """The symbols of the last round: where they begin, their names and sizes in words, and the rules behind them."""
+
+    def __init__(self, names: np.ndarray, docs: np.ndarray, salt: int = 0) -> None:
+        at, sym, size = np.arange(len(names)), names, np.ones(len(names), np.int64)
+        self.rules: list[tuple[np.ndarray, ...]] = []  # (word, name, left part, right part or count)
+        step = 0
+        for longest, runs, pairs in LEVELS:
+            if runs:
+                same = np.zeros(len(sym), bool)
+                same[1:] = (sym[1:] == sym[:-1]) & (docs[at[1:]] == docs[at[:-1]])
+                head = np.flatnonzero(~same)
+                count = np.diff(np.append(head, len(sym)))
+                short = (count > 1) & (size[head] <= longest) & (size[head] * count <= 2 * longest)
+                keep = ~same
+                keep[np.repeat(~short, count)] = True  # longer runs stay spelled out
+                group = np.cumsum(keep) - 1
+                total = np.bincount(group, weights=size).astype(np.int64) if len(sym) else size
+                named = sym[keep]
+                new = group[head[short]]
+                left, times = named[new], count[short].astype(U64)
+                named[new] = mix(left + times, 11 + 1000 * salt)
+                at, sym, size = at[keep], named, total
+                self.rules.append((at[new], named[new], left, times))
+            for _ in range(pairs):
+                step += 1
+                side = (mix(sym, 100 + step + 1000 * salt) & U64(1)).astype(bool)
+                fit = size <= longest
+                joins = np.zeros(len(sym), bool)  # the second of a pair
+                joins[1:] = ~side[:-1] & side[1:] & fit[:-1] & fit[1:] & (docs[at[1:]] == docs[at[:-1]])
+                second = np.flatnonzero(joins)
+                sym, size = sym.copy(), size.copy()
+                left, right = sym[second - 1], sym[second]
+                sym[second - 1] = mix(left * U64(0x9E3779B97F4A7C15) + right, 23 + 1000 * salt)
+                self.rules.append((at[second - 1], sym[second - 1], left, right))
+                size[second - 1] += size[second]
+                keep = ~joins
+                at, sym, size = at[keep], sym[keep], size[keep]
+        self.at, self.names, self.size = at, sym, size
+
+
+def _least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least of ``values[first[i]]`` to ``values[last[i]]`` for each i."""
+    out, wide = np.empty(len(first), U64), last - first + 1
+    reach, table = 1, values
+    while True:
+        here = np.flatnonzero((wide >= reach) & (wide < 2 * reach))
+        out[here] = np.minimum(table[first[here]], table[last[here] - reach + 1])
+        if not (wide >= 2 * reach).any():
+            return out
+        table = np.minimum(table, np.append(table[reach:], np.full(min(reach, len(table)), NONE))[: len(table)])
         reach *= 2
-    first = starts + REACH
-    return starts, docs, np.minimum(least[first], least[first + span - reach]), rolling
+
+
+class Windows:
+    """All windows of the documents: starts, documents, anchors, and names made of symbols and outer words."""
+
+    def __init__(self, words: Words, window: int, salt: int = 0) -> None:
+        if window < 2 * REACH + 2 * LONGEST:
+            raise ValueError(f"windows of under {2 * REACH + 2 * LONGEST} words need not hold a whole symbol")
+        names = words.names()
+        self.window, self.word_names, self.words = window, names, Rolling(names)
+        self.starts, self.docs = window_starts(words.doc_at, window)
+        self.anchor = np.zeros(0, U64)
+        if not len(self.starts):
+            return
+        self.symbols = s = Symbols(names, words.docs(), salt)
+        self.parts = Rolling(mix(s.names, 31))
+        # whole symbols whose both ends are further inside than REACH
+        self.first = np.searchsorted(s.at, self.starts + REACH)
+        self.last = np.searchsorted(s.at + s.size, self.starts + window - REACH, "right") - 1
+        n = len(s.names)
+        chains = np.full(n, NONE)
+        if n >= CHAIN:
+            chains[: n - CHAIN + 1] = mix(self.parts.of(np.arange(n - CHAIN + 1), CHAIN), 32)
+        long = self.last - self.first + 1 >= CHAIN
+        self.anchor = np.empty(len(self.starts), U64)
+        self.anchor[long] = _least(chains, self.first[long], self.last[long] - CHAIN + 1)
+        self.anchor[~long] = _least(mix(s.names, 33), self.first[~long], self.last[~long])
+
+    def names(self, hit: np.ndarray) -> np.ndarray:
+        """Names of the windows ``hit``."""
+        s, start = self.symbols, self.starts[hit]
+        left, right = s.at[self.first[hit]], s.at[self.last[hit]] + s.size[self.last[hit]]
+        inside = self.parts.of(self.first[hit], self.last[hit] - self.first[hit] + 1)
+        name = mix(self.words.of(start, left - start), 34) + mix(inside, 35)
+        return mix(name + mix(self.words.of(right, start + self.window - right), 36) + (left - start).astype(U64), 37)
+
+    def rules(self, words: Words, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (name, left, right) of the symbols and words in the windows ``hit``."""
+        inside = np.zeros(len(self.word_names) + 1, np.int64)
+        np.add.at(inside, self.starts[hit], 1)
+        np.add.at(inside, self.starts[hit] + self.window, -1)
+        inside = np.cumsum(inside)[:-1] > 0
+        found = [tuple(x[inside[rule[0]]] for x in rule[1:]) for rule in self.symbols.rules]
+        # a word's parts are its first eight bytes, and its size with its last eight
+        padded = np.concatenate((np.zeros(8, np.uint8), words.bytes, np.zeros(8, np.uint8)))
+        eight = np.ndarray((len(padded) - 7,), U64, buffer=padded.data, strides=(1,))
+        start, size = words.start[inside], (words.end - words.start)[inside]
+        shift = (U64(8) * (U64(8) - np.minimum(size, 8).astype(U64))) % U64(64)
+        found.append((self.word_names[inside], eight[start + 8] << shift, (eight[start + size] >> shift) + size.astype(U64) * U64(0x9E3779B97F4A7C15)))
+        name, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((right, left, name))
+        name, left, right = name[order], left[order], right[order]
+        new = np.append(True, (name[1:] != name[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])) if len(name) else np.zeros(0, bool)
+        return name[new], left[new], right[new]
 
 
 def _row_ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("__id").to_numpy(zero_copy_only=False), batch.column("__row").to_numpy(zero_copy_only=False)
 
 
-def _anchors(window: int):
+def _anchors(window: int, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                words = Words(part.column("text"))
-                _, docs, anchor, _ = window_anchors(words, window)
+                found = Windows(Words(part.column("text")), window, salt)
+                docs, anchor = found.docs, found.anchor
                 if not len(docs):
                     continue
                 new = np.ones(len(docs), bool)
@@ -114,24 +176,27 @@ def _anchors(window: int):
     return run
 
 
-def _windows(window: int):
-    """The windows whose anchors are in the list ``anchors`` of the row."""
+def _windows(window: int, salt: int):
+    """The windows whose anchors are in the list ``anchors`` of the row, and rows of the rules (at < 0) behind them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
                 words = Words(part.column("text"))
-                starts, docs, anchor, rolling = window_anchors(words, window)
+                found = Windows(words, window, salt)
                 lists = part.column("anchors")
                 wanted = np.sort(mix(lists.flatten().to_numpy().view(U64) ^ mix(np.repeat(np.arange(len(part), dtype=U64), lists.value_lengths().to_numpy()))))
-                mine = mix(anchor ^ mix(docs.astype(U64)))
+                mine = mix(found.anchor ^ mix(found.docs.astype(U64)))
                 spot = np.searchsorted(wanted, mine)
                 hit = np.flatnonzero(wanted[np.minimum(spot, len(wanted) - 1)] == mine) if len(wanted) else np.zeros(0, np.int64)
                 if not len(hit):
                     continue
                 ids, rows = _row_ids(part)
-                of, at = docs[hit], starts[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor[hit])), pa.array(signed(rolling.of(at, window))), pa.array(ids[of]), pa.array(rows[of]), pa.array((at - words.doc_at[of]).astype(np.int32))], ["anchor", "name", "__id", "__row", "at"])
+                of, at = found.docs[hit], found.starts[hit]
+                fields = ["anchor", "name", "__id", "__row", "at"]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(found.anchor[hit])), pa.array(signed(found.names(hit))), pa.array(ids[of]), pa.array(rows[of]), pa.array((at - words.doc_at[of]).astype(np.int32))], fields)
+                name, left, right = map(signed, found.rules(words, hit))
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(name), pa.array(left), pa.array(right), pa.array(np.full(len(name), -1, np.int32))], fields)
 
     return run
 
@@ -180,15 +245,23 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     first = same.groupBy("same").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where("first < last")
     copies = store.put(same.join(first, "same").where("__id > first").select("__id", "__row").distinct(), "copies")
 
-    found = known.select("__id", "__row", "text").mapInArrow(_anchors(window), "anchor long, __id long, __row long")
-    found = store.put(found, "anchors")
-    shared = found.groupBy("anchor").agg(F.min("__id").alias("a"), F.max("__id").alias("b")).where("a < b").select("anchor")
-    wanted = found.join(shared, "anchor").join(copies, ["__id", "__row"], "left_anti").groupBy("__id", "__row").agg(F.collect_list("anchor").alias("anchors"))
-    again = known.join(wanted, ["__id", "__row"]).select("__id", "__row", "text", "anchors")
-    windows = store.put(again.mapInArrow(_windows(window), "anchor long, name long, __id long, __row long, at int"), "windows")
-    store.drop("anchors")
-    first = windows.groupBy("anchor", "name").agg(F.min("__id").alias("a"), F.max("__id").alias("b")).where("a < b").select("anchor", "name", "a")
-    later = windows.join(first, ["anchor", "name"]).where("__id > a")
+    for salt in range(8):
+        found = known.select("__id", "__row", "text").mapInArrow(_anchors(window, salt), "anchor long, __id long, __row long")
+        found = store.put(found, "anchors")
+        shared = found.groupBy("anchor").agg(F.min("__id").alias("a"), F.max("__id").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", "n")
+        revealed = split_join(found, shared, ["anchor"], "n", found.count())
+        wanted = revealed.join(copies, ["__id", "__row"], "left_anti").groupBy("__id", "__row").agg(F.collect_list("anchor").alias("anchors"))
+        again = known.join(wanted, ["__id", "__row"]).select("__id", "__row", "text", "anchors")
+        both = store.put(again.mapInArrow(_windows(window, salt), "anchor long, name long, __id long, __row long, at int"), "windows")
+        store.drop("anchors")
+        parts = F.struct("__id", "__row")
+        if both.where("at < 0").groupBy("name").agg(F.min(parts).alias("a"), F.max(parts).alias("b")).where("a <> b").isEmpty():
+            break
+    else:
+        raise RuntimeError("no names are unambiguous")
+    windows = both.where("at >= 0")
+    first = windows.groupBy("anchor", "name").agg(F.min("__id").alias("a"), F.max("__id").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", "name", "n", "a")
+    later = split_join(windows, first, ["anchor", "name"], "n", windows.count()).where("__id > a")
     starts = later.groupBy("__id", "__row").agg(F.collect_list("at").alias("starts"))
     gone = starts.withColumn("copy", F.lit(False)).unionByName(copies.select("__id", "__row", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
     gone = store.put(gone, "gone")
