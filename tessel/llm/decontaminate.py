@@ -7,11 +7,13 @@ tokens are free is marked, and so on until none of ``min_match`` tokens is left.
 marked is its coverage, in whatever order its parts stand in the document.  Coverage of ``threshold`` or more
 contaminates.  An item of fewer tokens than ``min_match`` is covered by a document that has all of them in a row.
 
-The test items are sent to the executors in blocks of at most ``block_chars`` characters, each a pass over the documents
-without any shuffle.
+The test items are sent to the executors in blocks of about ``block_chars`` characters, one block at a time: each is a
+pass over the documents without any shuffle, whose result is stored before the next block is sent.
 
-Defined cases: null and empty texts are clean; items without tokens match nothing; of items with equal
-coverage the least item_id is named; repeated items and rows count like any others; columns of the documents go through.
+Defined cases: null and empty texts are clean; items without tokens, null items and items without an id match nothing; of
+items with equal coverage the least item_id is named; repeated items and rows count like any others; a very long or
+repetitive text is matched in steps of at most ``PAIRS`` pairs of places; an empty table of documents has no rows, one of
+items contaminates nothing; columns of the documents go through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,9 +26,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import Stored
 from .textscan import NOT_ALNUM, Rolling, Words, annotate, window_starts
 
-FIELDS = "__item long, __coverage double, __tiles array<struct<item_at: int, doc_at: int, size: int>>"
+FIELDS = "item long, coverage double, tiles array<struct<item_at: int, doc_at: int, size: int>>"
+#: Pairs of equal places that are formed at once.
+PAIRS = 2_000_000
 
 
 def tokens(texts: pa.Array) -> Words:
@@ -41,15 +46,32 @@ def parts(texts: pa.Array) -> Words:
     return Words(pc.utf8_lower(texts), by_category=True)
 
 
-def stretches(item: np.ndarray, text: np.ndarray, seeds_item: np.ndarray, seeds_text: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Maximal common stretches (item_at, text_at, length) from the places of common runs of ``size`` tokens."""
-    order = np.lexsort((seeds_text, seeds_text - seeds_item))
-    i, j = seeds_item[order], seeds_text[order]
+def _diagonals(doc: np.ndarray, item: np.ndarray, at_item: np.ndarray, at_doc: np.ndarray) -> list[np.ndarray]:
+    """Pairs of equal places as runs along diagonals: document, item, place in the item, place in the document, length."""
+    order = np.lexsort((at_doc, at_doc - at_item, item, doc))
+    doc, item, i, j = (x[order] for x in (doc, item, at_item, at_doc))
+    new = np.ones(len(i), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (j[1:] - i[1:] != j[:-1] - i[:-1]) | (j[1:] != j[:-1] + 1)
+    first = np.flatnonzero(new)
+    return [doc[first], item[first], i[first], j[first], np.diff(np.append(first, len(i)))]
+
+
+def _joined(runs: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Runs of several steps; what continues a run of the step before becomes one with it."""
+    doc, item, i, j, n = (np.concatenate(x) for x in zip(*runs, strict=True))
+    order = np.lexsort((j, j - i, item, doc))
+    doc, item, i, j, n = (x[order] for x in (doc, item, i, j, n))
     new = np.ones(len(i), bool)
-    new[1:] = (j[1:] - i[1:] != j[:-1] - i[:-1]) | (j[1:] != j[:-1] + 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (j[1:] - i[1:] != j[:-1] - i[:-1]) | (j[1:] != j[:-1] + n[:-1])
     first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(i)))
-    return list(zip(i[first].tolist(), j[first].tolist(), (count + size - 1).tolist(), strict=True))
+    return [doc[first], item[first], i[first], j[first], np.add.reduceat(n, first) if len(n) else n]
+
+
+def stretches(seeds_item: np.ndarray, seeds_text: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """Maximal common stretches (item_at, text_at, length) from the places of common runs of ``size`` tokens."""
+    none = np.zeros(len(seeds_item), np.int64)
+    _, _, i, j, n = _diagonals(none, none, seeds_item, seeds_text)
+    return list(zip(i.tolist(), j.tolist(), (n + size - 1).tolist(), strict=True))
 
 
 def tile(found: list[tuple[int, int, int]], n_item: int, size: int) -> list[tuple[int, int, int]]:
@@ -129,58 +151,72 @@ class Items:
         hit = np.flatnonzero(self.keys[np.minimum(low, len(self.keys) - 1)] == keys)
         low = low[hit]
         count = np.searchsorted(self.keys, keys[hit], "right") - low
-        entry = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        place = np.repeat(hit, count)
-        doc, item = docs[place], self.item[entry]
-        at_doc, at_item = starts[place] - words.doc_at[doc], self.at[entry]
-        order = np.lexsort((item, doc))
-        doc, item, at_doc, at_item = doc[order], item[order], at_doc[order], at_item[order]
+        ends, a, runs = np.cumsum(count), 0, []
+        while a < len(hit):  # steps of bounded size; a place that alone has more pairs has one for each place of the items
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
+            n = count[a:b]
+            entry = np.repeat(low[a:b] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            place = np.repeat(hit[a:b], n)
+            runs.append(_diagonals(docs[place], self.item[entry], self.at[entry], starts[place] - words.doc_at[docs[place]]))
+            a = b
+        if not runs:
+            return out
+        doc, item, at_item, at_doc, length = _joined(runs)
         cuts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))) if len(doc) else np.zeros(0, int)
         for a, b in zip(cuts.tolist(), np.append(cuts, len(doc))[1:].tolist(), strict=True):
             d, k = int(doc[a]), int(item[a])
-            mine = self.names[k]
-            tiles = tile(stretches(mine, names[words.doc_at[d] : words.doc_at[d + 1]], at_item[a:b], at_doc[a:b], self.size), len(mine), self.size)
-            found = (int(self.ids[k]), sum(t[2] for t in tiles) / len(mine), sorted(tiles))
+            n_item = len(self.names[k])
+            tiles = tile(list(zip(at_item[a:b].tolist(), at_doc[a:b].tolist(), (length[a:b] + self.size - 1).tolist(), strict=True)), n_item, self.size)
+            found = (int(self.ids[k]), sum(t[2] for t in tiles) / n_item, sorted(tiles))
             if out[d] is None or (-found[1], found[0]) < (-out[d][1], out[d][0]):
                 out[d] = found
         return out
 
 
+def _better(first: DataFrame) -> DataFrame:
+    """Of what two blocks found, the greater coverage, and of equal ones the lesser item."""
+    old = F.col("doc.coverage") > F.col("coverage")
+    tied = (F.col("doc.coverage") == F.col("coverage")) & F.col("doc.item").isNotNull() & (F.col("item").isNull() | (F.col("doc.item") < F.col("item")))
+    return first.select("doc.doc", *(F.when(old | tied, F.col(f"doc.{c}")).otherwise(F.col(c)).alias(c) for c in ("item", "coverage", "tiles")))
+
+
 def tile_documents(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = 16_000_000) -> DataFrame:
-    """All columns of ``docs`` with ``__item``, ``__coverage`` and ``__tiles`` of the item that covers most."""
+    """``doc``, a struct of all columns of ``docs``, with ``item``, ``coverage`` and ``tiles`` of the item that covers most."""
     spark = docs.sparkSession
+    store = Stored(spark, "tiles")
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null")
     chars = items.agg(F.sum(F.length("text"))).head()[0] or 0
     blocks = 1 + chars // block_chars
-    out = docs
+    out, sent = None, None
     for k in range(blocks):
         rows = sorted((r.id, r.text) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect())
+        if out is not None:  # only one block is held at a time
+            out = store.put(out, f"block{k}")
+            sent.destroy()
+            if k > 1:
+                store.drop(f"block{k - 1}")
         sent = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], min_match))
 
-        def make(part: pa.RecordBatch, sent=sent, later=k > 0) -> list[pa.Array]:
-            found = sent.value.check(part.column(text_col))
-            if later:
-                before = [part.column(c).to_pylist() for c in ("__item0", "__coverage0", "__tiles0")]
-                for i, x in enumerate(zip(*before, strict=True)):
-                    if x[0] is not None and (found[i] is None or (-x[1], x[0]) < (-found[i][1], found[i][0])):
-                        found[i] = (x[0], x[1], [(t["item_at"], t["doc_at"], t["size"]) for t in x[2]])
+        def make(texts: pa.Array, sent=sent) -> list[pa.Array]:
+            found = sent.value.check(texts)
             kind = pa.list_(pa.struct([("item_at", pa.int32()), ("doc_at", pa.int32()), ("size", pa.int32())]))
             tiles = [[dict(zip(("item_at", "doc_at", "size"), t, strict=True)) for t in f[2]] if f else None for f in found]
             return [pa.array([f and f[0] for f in found], pa.int64()), pa.array([f[1] if f else 0.0 for f in found], pa.float64()), pa.array(tiles, kind)]
 
-        if k:
-            out = out.withColumnsRenamed({c: f"{c}0" for c in ("__item", "__coverage", "__tiles")})
-        out = annotate(out, make, FIELDS, text_col)
-        out = out.drop("__item0", "__coverage0", "__tiles0")
+        if out is None:
+            out = annotate(docs, make, FIELDS, text_col)
+        else:
+            text = out.select("doc", "item", "coverage", "tiles", F.col("doc").getField(text_col).alias("text"))
+            out = _better(annotate(text, make, FIELDS, "text"))
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """The documents that no test item contaminates, with the columns of ``docs``."""
-    return tile_documents(docs, benchmark, **options).where(F.col("__coverage") < threshold).select(*docs.columns)
+    return tile_documents(docs, benchmark, **options).where(F.col("coverage") < threshold).select("doc.*")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", **options) -> DataFrame:
     """Per document: doc_id, contaminated, item_id (null if no item shares a seed), coverage, n_tiles."""
     found = tile_documents(docs.select(id_col, options.get("text_col", "text")), benchmark, **options)
-    return found.select(id_col, (F.col("__coverage") >= threshold).alias("contaminated"), F.col("__item").alias("item_id"), F.col("__coverage").alias("coverage"), F.when(F.col("__tiles").isNull(), 0).otherwise(F.size("__tiles")).alias("n_tiles"))
+    return found.select(F.col("doc").getField(id_col).alias(id_col), (F.col("coverage") >= threshold).alias("contaminated"), F.col("item").alias("item_id"), "coverage", F.when(F.col("tiles").isNull(), 0).otherwise(F.size("tiles")).alias("n_tiles"))

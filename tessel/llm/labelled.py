@@ -20,6 +20,15 @@ def sample(labels: DataFrame, label: str, folds: int, held_out: int, most: int,
 
 
 def sampled_documents(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts of the sampled labels; the sample is bounded, so it is sent to the documents."""
-    texts = docs.select(F.col(id_col).cast("long").alias("__label_id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), "__label_id")
+    """(id, label, text, h) of the sampled labels' rows; the sample is bounded, so it is sent to the documents.
+
+    An id may have several rows: ``first_rows`` bounds these.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("__label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "__label_id").withColumn("h", F.xxhash64("text"))
+
+
+def first_rows(rows: DataFrame, most: int) -> list:
+    """At most ``most`` of the sampled rows, those whose id and then text have the least hashes, in an order of content."""
+    got = rows.orderBy(F.xxhash64("__label_id"), "__label_id", "h").limit(most).collect()
+    return sorted(got, key=lambda r: (r.h, r["__label"], r["__label_id"]))

@@ -1,14 +1,18 @@
-"""Line dedup by hashes of all windows of lines; unlike in winnowing, no window is left out.
+"""Line dedup by winnowing over line hashes.
 
-A line is what stands between line feeds and has a word; white space does not count when lines are compared.  Over
-every ``min_run`` consecutive lines the least hash is the window's fingerprint, so equal runs of that many lines share a
-fingerprint for sure.  Positions are joined on fingerprint and run; a run that begins at a later place than its first
-occurrence, and does not overlap it, goes.  Consecutive such runs make up the longer repeated stretches: matches are so
-extended both ways.  With ``min_words`` a single line of that many words is a run too, whatever stands around it.  Places are ordered by doc_id, then by the text's hash, then by line.  All is judged on the input.
+A line is what stands between line feeds and has a word; white space does not count when lines are compared.  Of every
+``min_run`` consecutive lines the one of least hash (of equal ones the last) is selected: the window's fingerprint.  Equal
+runs of ``min_run`` lines select the same line, so any repeated run shares a fingerprint for sure, and lines that no
+window selects are left out.  Positions are joined on the fingerprint, a line's hash.  Where one line stands at several
+places, the match is extended both ways, to the windows around it that selected it; a run that begins at a later place
+than its first occurrence, and does not overlap it, goes.  Runs that touch make up the longer repeated stretches.  With
+``min_words`` a single line of that many words is a window of its own, whatever stands around it.  Places are ordered by
+doc_id, then by the text's hash, then by line.  All is judged on the input.
 
 Defined cases: null and empty texts have no lines and stay as they are; rows with a null doc_id stay as they are and
-are no first occurrence; rows that are alike in doc_id and text are one document; lines without words stay; columns of
-the documents go through.
+are no first occurrence; rows that are alike in doc_id and text are one document; lines without words stay; of equal
+places nothing is later, so the first occurrence always stays; very long texts are read whole; an empty table has no
+rows; columns of the documents go through, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..storage import Stored
+from .skew import split_join
 from .textscan import U64, Rolling, Words, mix, signed, text_slices, window_starts
 
 
@@ -48,31 +53,39 @@ class Lines:
         self.names = Rolling(words.names()).of(first, size) if n else np.zeros(0, U64)
         self.doc_at = np.searchsorted(first, words.doc_at)
 
-    def runs(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of all runs of ``size`` lines, their documents, fingerprints and hashes."""
+    def windows(self, size: int, min_words: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All windows of ``size`` lines, and long single lines: start, size, document, name and the line selected."""
         starts, docs = window_starts(self.doc_at, size)
-        if not len(starts):
-            return starts, docs, np.zeros(0, U64), np.zeros(0, U64)
-        least = mix(self.names[starts], 3)
+        order = mix(self.names, 3)
+        best = starts.copy()
         for k in range(1, size):
-            least = np.minimum(least, mix(self.names[starts + k], 3))
-        return starts, docs, least, Rolling(self.names).of(starts, size)
+            best = np.where(order[starts + k] <= order[best], starts + k, best) if len(starts) else best
+        sizes = np.full(len(starts), size, np.int32)
+        if min_words is not None and size > 1:
+            long = np.flatnonzero(self.n_words >= min_words)
+            of = np.searchsorted(self.doc_at, long, "right") - 1
+            starts, docs, best, sizes = (np.concatenate(x) for x in ((starts, long), (docs, of), (best, long), (sizes, np.ones(len(long), np.int32))))
+        names = Rolling(self.names).of(starts, sizes) if len(starts) else np.zeros(0, U64)
+        return starts, sizes, docs, names, best
 
 
-def _runs(size: int, min_words: int | None):
+def _prints(size: int, min_words: int | None):
+    """A row per selected line, with the windows that selected it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
                 lines = Lines(part.column("text"))
-                starts, docs, mark, name = lines.runs(size)
-                sizes = np.full(len(starts), size, np.int32)
-                if min_words is not None and size > 1:
-                    one = lines.runs(1)
-                    long = np.flatnonzero(lines.n_words[one[0]] >= min_words)
-                    starts, docs, mark, name = (np.concatenate((a, b[long])) for a, b in zip((starts, docs, mark, name), one, strict=True))
-                    sizes = np.append(sizes, np.ones(len(long), np.int32))
-                ids, rows = (part.column(c).to_numpy(zero_copy_only=False)[docs] for c in ("__id", "__row"))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(mark)), pa.array(signed(name)), pa.array(ids), pa.array(rows), pa.array((starts - lines.doc_at[docs]).astype(np.int32)), pa.array(sizes)], ["mark", "name", "__id", "__row", "at", "size"])
+                starts, sizes, docs, names, best = lines.windows(size, min_words)
+                order = np.argsort(best, kind="stable")
+                starts, sizes, docs, names, best = (x[order] for x in (starts, sizes, docs, names, best))
+                first = np.flatnonzero(np.append(True, best[1:] != best[:-1])) if len(best) else np.zeros(0, np.int64)
+                cuts = pa.array(np.append(first, len(best)), pa.int32())
+                at = (starts - lines.doc_at[docs]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (at, sizes, signed(names))]
+                ids, rows = (part.column(c).to_numpy(zero_copy_only=False)[docs[first]] for c in ("__id", "__row"))
+                place = (best[first] - lines.doc_at[docs[first]]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(lines.names[best[first]])), pa.array(ids), pa.array(rows), pa.array(place), *lists], ["mark", "__id", "__row", "line", "at", "size", "name"])
 
     return run
 
@@ -108,28 +121,37 @@ def _cut(size: int, columns: list[str]):
 
 
 def cut_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
-    """All columns of ``docs`` with ``__kept`` (the text without repeated lines), ``__lines`` and ``__gone``.
+    """``doc``, a struct of all columns of ``docs``, with ``kept`` (the text without repeated lines), ``lines`` and ``gone``.
 
     A run is ``min_run`` lines, or, if ``min_words`` is given, one line of at least that many words.
     """
     store = Stored(docs.sparkSession, "lines")
     # the documents go through as one struct, so their columns' names cannot clash with those used here
-    keyed = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__row"))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__row"))
     text = F.col("__doc").getField(text_col)
     found = keyed.where(F.col("__id").isNotNull() & text.isNotNull()).select("__id", "__row", text.alias("text"))
-    runs = store.put(found.mapInArrow(_runs(min_run, min_words), "mark long, name long, __id long, __row long, at int, size int"), "runs")
+    schema = "mark long, __id long, __row long, line int, at array<int>, size array<int>, name array<long>"
+    prints = store.put(found.mapInArrow(_prints(min_run, min_words), schema), "prints")
+    place = F.struct("__id", "__row", "line")
+    shared = prints.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a < b").select("mark", "n")
+    matched = split_join(prints, shared, ["mark"], "n", prints.count())
+    # extension to the windows on either side of the matched line
+    runs = matched.select("mark", "__id", "__row", F.explode(F.arrays_zip("at", "size", "name")).alias("w")).select("mark", "__id", "__row", "w.at", "w.size", "w.name")
+    runs = store.put(runs, "runs")
+    store.drop("prints")
     place = F.struct("__id", "__row", "at")
-    many = runs.groupBy("mark", "name").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("mark", "name", "a")
-    later = runs.join(many, ["mark", "name"]).where("(__id, __row, at) > (a.__id, a.__row, a.at) and not (__id = a.__id and __row = a.__row and at < a.at + size)")
+    many = runs.groupBy("mark", "name", "size").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a < b").select("mark", "name", "size", "n", "a")
+    later = split_join(runs, many, ["mark", "name", "size"], "n", runs.count()).where("(__id, __row, at) > (a.__id, a.__row, a.at) and not (__id = a.__id and __row = a.__row and at < a.at + size)")
     whole = F.col("size") == min_run
     gone = store.put(later.groupBy("__id", "__row").agg(F.collect_set(F.when(whole, F.col("at"))).alias("__starts"), F.collect_set(F.when(~whole, F.col("at"))).alias("__ones")), "gone")
     store.drop("runs")
     # the cut documents grow with the table, so the join is the same at every size; a text is exchanged once
     joined = keyed.join(gone.hint("merge"), ["__id", "__row"], "left").select("__doc", text.alias("__text"), "__starts", "__ones")
     cut = joined.mapInArrow(_cut(min_run, ["__doc"]), StructType([joined.schema["__doc"], *StructType.fromDDL("__kept string, __lines long, __gone long").fields]))
-    return cut.select("__doc.*", "__kept", "__lines", "__gone")
+    return cut.toDF("doc", "kept", "lines", "gone")
 
 
 def line_dedup(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed and the kept text."""
-    return cut_lines(docs.select(id_col, text_col), min_run, id_col, text_col, min_words).select(id_col, F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), F.col("__kept").alias("kept_text"))
+    found = cut_lines(docs.select(id_col, text_col), min_run, id_col, text_col, min_words)
+    return found.select(F.col("doc").getField(id_col).alias(id_col), F.col("lines").alias("n_lines"), F.col("gone").alias("n_removed"), F.col("kept").alias("kept_text"))

@@ -8,7 +8,9 @@ whole text.
 
 Defined cases: null and empty texts have statistics like any others (all zero) and get the model's score for these;
 labels other than 0 and 1 are left out; without any label every score is 0.5, with labels of one kind only it is that
-kind's smoothed share; columns of the documents go through.
+kind's smoothed share; equal texts have equal scores, so repeated rows and ties need no rule; of an id with several rows
+those of least text hash are learnt from; very long texts are read whole; an empty table has no rows; columns of the
+documents go through, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import fold, sample, sampled_documents
+from .labelled import first_rows, fold, sample, sampled_documents
 from .textscan import U64, Rolling, Words, annotate, window_starts
 
 STATISTICS = (
@@ -166,24 +168,23 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
     """A forest fitted on at most ``sample_rows`` labelled documents outside the held-out fold."""
     chosen = sampled_documents(docs, sample(labels, "quality", folds, held_out, sample_rows, id_col), id_col, text_col)
 
-    def make(part: pa.RecordBatch) -> list[pa.Array]:
-        x = statistics(part.column("text"))
+    def make(texts: pa.Array) -> list[pa.Array]:
+        x = statistics(texts)
         return [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))]
 
-    rows = annotate(chosen, make, "x array<double>").select("__label_id", "__label", "x").collect()
-    rows.sort(key=lambda r: (r[0], r[2]))
+    rows = first_rows(annotate(chosen, make, "x array<double>").select("doc.__label_id", "doc.__label", "doc.h", "x"), sample_rows)
     x = np.array([r.x for r in rows], float).reshape(len(rows), len(STATISTICS))
-    return fit(x, np.array([r[1] for r in rows], float))
+    return fit(x, np.array([r["__label"] for r in rows], float))
 
 
 def score(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``__quality``."""
+    """``doc``, a struct of all columns of ``docs``, with ``score``."""
     sent = docs.sparkSession.sparkContext.broadcast(forest)
-    return annotate(docs, lambda part: [pa.array(sent.value.score(statistics(part.column(text_col))))], "__quality double", text_col)
+    return annotate(docs, lambda texts: [pa.array(sent.value.score(statistics(texts)))], "score double", text_col)
 
 
 def quality(docs: DataFrame, labels: DataFrame, accept: float = 0.7, folds: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted (1 from ``accept`` on)."""
     forest = train(docs, labels, folds, held_out, id_col=id_col, text_col=text_col, **options)
-    found = score(docs.select(id_col, text_col), forest, text_col)
-    return found.select(id_col, F.coalesce(fold(id_col, folds) == held_out, F.lit(False)).alias("held_out"), F.col("__quality").alias("score"), (F.col("__quality") >= accept).cast("int").alias("predicted"))
+    found = score(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), forest).select("doc.id", "score")
+    return found.select(F.col("id").alias(id_col), F.coalesce(fold("id", folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))

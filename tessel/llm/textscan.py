@@ -13,6 +13,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 U64 = np.uint64
@@ -173,13 +174,6 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         at, left = at[more] + 8, left[more] - 8
 
 
-def hash_beginnings(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of the first ``size`` bytes, 8 at most, from each start; unlike those of whole spans."""
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    eight = np.ndarray((len(data) + 1,), U64, buffer=padded.data, strides=(1,))
-    return mix(eight[start] & _MASKS[size], 40 + size)
-
-
 class Rolling:
     """Hashes of any run of consecutive names, from one prefix sum."""
 
@@ -215,17 +209,20 @@ def list_column(values: pa.Array, offsets: np.ndarray) -> pa.Array:
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def annotate(df: DataFrame, make, fields: str, text_col: str = "text") -> DataFrame:
-    """``df`` with more columns; ``make`` gets slices of bounded text size and returns arrays for ``fields``.
+def annotate(df: DataFrame, make, fields: str, text_col: str = "text", most_bytes: int = 4 << 20) -> DataFrame:
+    """``doc``, a struct of all columns of ``df``, with more columns; ``make`` gets texts of bounded size and returns arrays.
 
-    All columns of ``df`` go through unchanged and nothing is shuffled.  ``fields`` is DDL; its names must be new.
+    As all columns go through as one struct, ``fields`` (DDL) cannot clash with them.  Nothing is shuffled.
     """
     added = StructType.fromDDL(fields)
-    columns = df.columns
+    place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, text_col):
-                yield pa.RecordBatch.from_arrays([*part.columns, *make(part)], [*columns, *added.names])
+            doc = batch.column(0)
+            both = pa.RecordBatch.from_arrays([doc, doc.flatten()[place]], ["doc", "text"])
+            for part in text_slices(both, "text", most_bytes):
+                yield pa.RecordBatch.from_arrays([part.column("doc"), *make(part.column("text"))], ["doc", *added.names])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
+    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc"))
+    return packed.mapInArrow(run, StructType([packed.schema["doc"], *added.fields]))
