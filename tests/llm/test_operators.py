@@ -24,7 +24,6 @@ def words(text):
 
 def plain_ids(text):
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -67,12 +66,58 @@ def test_recompression_borders_depend_on_their_surroundings_only():
         for _ in range(20):
             left, right = rng.integers(0, alphabet, rng.integers(0, 30)).astype(np.uint64), rng.integers(0, alphabet, rng.integers(0, 30)).astype(np.uint64)
             names = substring_dedup.mix(np.concatenate((left, middle, right)))
-            at = substring_dedup.recompress(names, np.zeros(len(names), np.int64)) - len(left)
-            r = substring_dedup.REACH
-            seen.add(tuple(at[(at >= r) & (at <= 50 - r)]))
+            s = substring_dedup.Symbols(names, np.zeros(len(names), np.int64))
+            r, at = substring_dedup.REACH, s.at - len(left)
+            whole = (at >= r) & (at + s.size <= 50 - r)
+            seen.add(tuple(zip(at[whole].tolist(), s.names[whole].tolist(), strict=True)))
         assert len(seen) == 1 and len(next(iter(seen))) >= 1
 
 
+def test_symbols_spell_their_words():
+    rng = np.random.default_rng(1)
+    names = substring_dedup.mix(rng.integers(0, 6, 3000).astype(np.uint64))
+    s = substring_dedup.Symbols(names, np.zeros(len(names), np.int64))
+    rules = {}
+    for k, (_, new, left, right) in enumerate(s.rules):
+        run = k in (0, 3)
+        for n, a, b in zip(new.tolist(), left.tolist(), right.tolist(), strict=True):
+            assert rules.setdefault(n, (run, a, b)) == (run, a, b)
+
+    def spell(n):
+        if n not in rules:
+            return [n]
+        run, a, b = rules[n]
+        return spell(a) * b if run else spell(a) + spell(b)
+
+    assert [w for n in s.names.tolist() for w in spell(n)] == names.tolist()
+    assert s.size.max() > 2 and len(s.names) < 0.6 * len(names)
+    least = substring_dedup._least(names, np.arange(100), np.arange(100) + np.arange(100) % 23)
+    assert least.tolist() == [names[i : i + i % 23 + 1].min() for i in range(100)]
+
+
+def test_ambiguous_names_are_made_anew(spark, monkeypatch, corpus, documents):
+    seen, plain = [], substring_dedup._windows
+
+    def broken(window, salt):
+        seen.append(salt)
+        run = plain(window, salt)
+
+        def more(batches):
+            for b in run(batches):
+                yield b
+                if salt == 0:  # a second rule for the same names
+                    at = b.column("at").to_numpy()
+                    if (at < 0).any():
+                        yield b.set_column(2, "__id", pa.array(b.column("__id").to_numpy() + 1))
+
+        return more
+
+    want = {r.doc_id: r.kept_sha256 for r in substring_dedup.substring_dedup(documents).collect()}
+    monkeypatch.setattr(substring_dedup, "_windows", broken)
+    assert {r.doc_id: r.kept_sha256 for r in substring_dedup.substring_dedup(documents).collect()} == want
+    assert seen == [0, 1]
+
+
 # 2 licences
 
 
@@ -167,20 +212,36 @@ def test_toxicity_on_the_held_out_fold(labelled):
     assert got[700].score == got[701].score < 0.5 and got[None].score > 0.5
 
 
-def test_nearest_examples_are_exact(labelled):
+def test_nearest_examples_and_votes_are_exact(labelled):
     docs, labels = labelled
-    index = toxicity.build(docs, labels, n_terms=40)
-    rng = np.random.default_rng(1)
-    for _ in range(60):
-        q = rng.random(len(index.idf)) * (rng.random(len(index.idf)) < 0.3)
-        if not q.any():
-            continue
-        q /= np.sqrt((q * q).sum())
-        terms = np.flatnonzero(q)
-        found, cosine = index.nearest(terms, q[terms])
-        every = np.sort(index.vectors @ q)[::-1]
-        every = every[every > 1e-15][: index.k]
-        assert np.allclose(np.sort(cosine)[::-1], every)
+    model = toxicity.build(docs, labels)
+    assert len(model.vocabulary) > 250 and model.index.n > 400  # all terms of all sampled rows
+    texts = pa.array([r.text for r in docs.collect()])
+    vectors = toxicity.Vectors(model.vocabulary, *toxicity.term_counts(texts), len(texts))
+    dense = np.zeros((vectors.n, len(model.vocabulary)))
+    dense[vectors.row, vectors.term] = vectors.weights(model.index.value)
+    held = np.zeros((model.index.n, len(model.vocabulary)))
+    term = np.repeat(np.arange(len(model.vocabulary)), [model.index.postings[a:b].sum() for a, b in zip(model.index.first[:-1], model.index.first[1:], strict=True)])
+    held[model.index.example, term] = model.index.weight
+    votes, near = model.index.votes(vectors, (model.k,))
+    for i in range(vectors.n):
+        cosine = np.round(held @ dense[i], 10)
+        order = np.lexsort((np.arange(len(cosine)), -cosine))[: model.k]
+        order = order[cosine[order] > 0]
+        assert near[i].tolist() == order.tolist()
+        square = cosine[order] ** 2
+        assert votes[i, 0] == pytest.approx((square * model.index.labels[order]).sum() / square.sum() if len(order) else -1.0)
+
+
+def test_ids_have_no_part_in_toxicity(labelled):
+    docs, labels = labelled
+    score = lambda d, n: {r.t: r.score for r in d.join(toxicity.toxicity(d, n), "doc_id").select(F.col("text").alias("t"), "score").collect()}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    moved = {i: next(k for k in range(10**6 - 1000 * i, 10**6 - 1000 * i + 1000) if fold(k) == fold(i)) for i in range(600)}
+    spark = docs.sparkSession
+    d2 = spark.createDataFrame([(moved.get(r.doc_id), r.text) for r in docs.collect() if r.doc_id in moved], docs.schema)
+    n2 = spark.createDataFrame([(moved[r.doc_id], r.quality, r.toxic) for r in labels.collect() if r.doc_id in moved], labels.schema)
+    assert score(d2, n2) == score(docs.where("doc_id < 600"), labels.where("doc_id < 600"))
 
 
 def test_toxicity_without_labels(labelled):
@@ -192,6 +253,55 @@ def test_toxicity_without_labels(labelled):
 # 4 near dedup
 
 
+def test_shared_differences_are_enough():
+    rng = np.random.default_rng(7)
+    for t in (0.8, 0.5):
+        for _ in range(4000):
+            c, x, y = (frozenset(rng.choice(60, rng.integers(1, 40), replace=False).tolist()) for _ in range(3))
+            x, y = (frozenset(c ^ frozenset(rng.choice(60, rng.integers(0, 14), replace=False).tolist())) for _ in range(2))
+            if not x or not y:
+                continue
+            sim = lambda a, b: len(a & b) / len(a | b)
+            if sim(x, y) < t or sim(y, c) >= t:
+                continue
+            common = len((x ^ c) & (y ^ c))
+            any_x, _ = near_dedup.reach(*(np.array([v]) for v in (len(c), len(x), len(x ^ c))), t)
+            _, far = near_dedup.reach(*(np.array([v]) for v in (len(c), len(y), len(y ^ c))), t)
+            assert any_x[0] >= len(x ^ c) - common + 1 or any_x[0] == len(x ^ c)
+            assert far[0] >= len(y ^ c) - common + 1 or far[0] == len(y ^ c)
+
+
+def test_all_texts_of_an_id_are_in_one_class(spark):
+    words_of = lambda s, n=40: [f"{s}{i}" for i in range(n)]
+    x, y = " ".join(words_of("x")), " ".join(words_of("y"))
+    near_y = " ".join([*words_of("y"), "more"])
+    rows = [(1, x), (2, x), (2, y), (3, near_y), (4, "other words of a text"), (None, x)]
+    got = sorted((r.doc_id or -1, r.class_id or -1, r.is_first) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-1, -1, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (4, 4, True)]
+
+
+def test_large_groups_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    monkeypatch.setattr(near_dedup, "SALTED", 10)
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(40)]
+    group = [[f"b{i}" for i in range(100)]]
+    for _ in range(160):
+        w = list(rng.choice(group) if rng.random() < 0.3 else group[0])
+        for _ in range(rng.randint(1, 7)):
+            k = rng.randrange(len(w))
+            if rng.random() < 0.8:
+                w[k] = rng.choice(vocabulary)
+            else:
+                w[k : k + rng.randint(0, 3)] = []
+        group.append(w)
+    group += [w[: rng.randint(70, 100)] for w in group[:40]]
+    rng.shuffle(group)
+    rows = [(i, " ".join(w)) for i, w in enumerate(group)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows) and 2 < len(set(got.values())) < 190
+
+
 def jaccard(a, b):
     common = sum((a & b).values())
     return common / max(1, sum(a.values()) + sum(b.values()) - common)
@@ -329,6 +439,17 @@ def test_items_of_unspaced_scripts_and_short_items_are_found(spark):
         assert got == {0: (1, True), 1: (2, True), 2: (3, True), 3: (4, True), 4: (5, True)} | {i: (None, False) for i in range(5, 11)}
 
 
+def test_pairs_in_steps_are_as_all_at_once(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, "a " * 60 + "b c d e f g"), (2, "c d e f g h i j k l " * 3)], "item_id long, text string").collect()
+    texts = pa.array(["a " * 300, "x " + "c d e f g h i j k l " * 9, "a " * 70 + "b c d e f g a a a a a a", None, ""])
+    items = decontaminate.Items([r.item_id for r in bench], [r.text for r in bench], 5)
+    want = items.check(texts)
+    for most in (1, 50, 1000):
+        monkeypatch.setattr(decontaminate, "PAIRS", most)
+        assert items.check(texts) == want
+    assert want[0][1] == 60 / 66 and want[2][1] == 1.0
+
+
 def test_tiles_are_greedy():
     rng = random.Random(6)
     for _ in range(60):
@@ -337,7 +458,7 @@ def test_tiles_are_greedy():
         if not places:
             continue
         i, j = (np.array(x) for x in zip(*places, strict=True))
-        got = sorted(decontaminate.tile(decontaminate.stretches(np.array(item), np.array(text), i, j, 3), len(item), 3))
+        got = sorted(decontaminate.tile(decontaminate.stretches(i, j, 3), len(item), 3))
         used_i, used_j, want = set(), set(), []
         while True:
             best = None
@@ -404,6 +525,20 @@ def test_long_single_lines_go_whatever_stands_around_them(spark):
     assert staged == {i: t for i, (_, _, t) in got.items()}
 
 
+def test_windows_select_their_least_lines():
+    rng = random.Random(4)
+    texts = pa.array(["\n".join(f"line {rng.randrange(50)}" for _ in range(rng.randint(0, 60))) for _ in range(20)])
+    lines = line_dedup.Lines(texts)
+    order = line_dedup.mix(lines.names, 3)
+    for size in (2, 4):
+        starts, sizes, docs, names, best = lines.windows(size)
+        for s, d, b in zip(starts.tolist(), docs.tolist(), best.tolist(), strict=True):
+            assert lines.doc_at[d] <= s and s + size <= lines.doc_at[d + 1]
+            low = min(order[s : s + size])
+            assert b == max(k for k in range(s, s + size) if order[k] == low)
+        assert len(set(best.tolist())) < (0.8 if size == 2 else 0.55) * len(lines.names)
+
+
 # 8 quality rules
 
 
@@ -434,7 +569,7 @@ def test_policies_and_ablations(documents):
 
 
 def test_ids_equal_the_library(corpus):
-    odd = ["a  b", " x", "x ", "a  b", "a　 b c", "a \n b\n\nc  \n d", "don't we'll 12 3!! <|endoftext|> x", "日本 語 テ スト", "a\x1c b \x1fc", "a \x85 b", "𝒳 𝒴 😀 😀a", "½ x² y", "it's 's 'S o'clock", "é è  à"]
+    odd = ["a  b", " x", "x ", "a  b", "a　 b c", "a \n b\n\nc  \n d", "don't we'll 12 3!! <|endoftext|> x", "日本 語 テ スト", "a\x1c b \x1fc", "a \x85 b", "𝒳 𝒴 😀 😀a", "½ x² y", "it's 's 'S o'clock", "é è  à", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "A.B.C, $x_y", "a'b c'.d", "e.\u00e9.f", "x-1.y"]
     texts = [t for _, t in corpus] + odd
     ids, offsets = tokens.Encoder(tokens.default_path(), cache=500).encode(pa.array(texts))
     for i, t in enumerate(texts):
@@ -519,6 +654,50 @@ def test_knapsack_is_exact():
         assert got == pytest.approx(best) and np.dot(counts, value) == pytest.approx(best) and np.dot(counts, size) <= 24
 
 
+# all
+
+
+OPERATORS = {
+    "op1": lambda d, t: substring_dedup.substring_dedup(d), "op2": lambda d, t: licences.licences(d), "op3": lambda d, t: toxicity.toxicity(d, t),
+    "op4": lambda d, t: near_dedup.near_duplicates(d), "op5": lambda d, t: quality.quality(d, t), "op6": lambda d, t: decontaminate.contamination(d, t.select(F.col("doc_id").alias("item_id"), "text")),
+    "op7": lambda d, t: line_dedup.line_dedup(d), "op8": lambda d, t: quality_rules.quality_rules(d), "op9": lambda d, t: token_files.token_digest(d), "op10": lambda d, t: packing.pack(d),
+}
+ODD = "doc_id long, text string, __row string, keys string, __id int, node string, __gone int, __cued int, __quality double, __coverage double, doc string, score double, h int, kept string, lines int, gone int, `a.b` int"
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_tables_repeated_rows_null_ids_and_clashing_columns(spark, name):
+    long = " ".join(f"word{i % 700}" for i in range(9000))
+    rows = [(None, "a b c"), (1, None), (2, ""), (3, "one two three"), (3, "one two three"), (3, "another text"), (4, long), (5, "one two three"), (None, None)]
+    wide = spark.createDataFrame([(i, t, "r", "k", 1, "n", 2, 3, 0.1, 0.2, "d", 0.3, 4, "x", 5, 6, 7) for i, t in rows], ODD)
+    table = spark.createDataFrame([(3, 1, 0, "one two three"), (4, 1, 1, "x"), (5, 0, 0, "y"), (2, 0, 1, "z"), (1, 0, 0, None)], "doc_id long, quality int, toxic int, text string")
+    got = OPERATORS[name](wide, table).collect()
+    plain = OPERATORS[name](wide.select("doc_id", "text"), table).collect()
+    key = lambda r: repr([r[c] for c in r.__fields__ if c not in ("sequence_id", "offset")])
+    assert sorted(map(key, got)) == sorted(map(key, plain))
+    assert collections.Counter(r.doc_id for r in got)[3] == 3 and len({r.doc_id for r in got}) == 6
+    if name != "op10":
+        assert len(got) == len(rows)
+    assert OPERATORS[name](wide.where("false"), table).count() == 0
+
+
+def test_stages_on_clashing_columns_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    base = f"file://{tmp_path}"
+    spark.createDataFrame([(0, "t1 t2 t3 t4 t5 t6")], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(4)], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    rows = [(None, "a b c"), (1, None), (2, ""), (3, "one two three"), (3, "one two three"), (4, "z t1 t2 t3 t4 t5 t6"), (5, "one two three")]
+    wide = spark.createDataFrame([(i, t, "r", "k", 1, "n", 2, 3, 0.1, 0.2, "d", 0.3, 4, "x", 5, 6, 7) for i, t in rows], ODD)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, wide, base).columns == wide.columns
+        assert stage(spark, wide.where("false"), base).count() == 0
+    ids = lambda name: collections.Counter(r.doc_id for r in dict(corpus_pipeline.STAGES)[name](spark, wide, base).collect())
+    assert ids("lines") == {None: 1, 1: 1, 2: 1, 3: 2, 4: 1, 5: 1}
+    assert ids("near") == {None: 1, 1: 1, 3: 2, 4: 1}
+    assert ids("benchmark") == {None: 1, 1: 1, 2: 1, 3: 2, 5: 1}
+
+
 # pipeline
 
 
