@@ -1,6 +1,11 @@
 """The corpus pipeline: quality classifier, line dedup, near dedup, benchmark decontamination, packing.
 
 Each stage takes all that the stage before it kept.  All but the last return the columns of ``documents``.
+
+Defined cases of all stages: null and empty texts are scored like others, have no lines, are copies of each other, are
+clean and are packed as the end id alone; rows with a null doc_id lose no lines and are nobody's copy; rows of one doc_id
+stay or go each on its own in quality, lines and benchmark and stay together in near; ties go to the least doc_id; very
+long texts are read whole; an empty table stays empty; columns go through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,13 +26,15 @@ ACCEPT = 0.7
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     forest = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, forest).where(F.col("__quality") >= ACCEPT).select(*docs.columns)
+    return score(docs, forest).where(F.col("score") >= ACCEPT).select("doc.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later repeated runs of lines and long single lines; those of which nothing is left go."""
-    found = cut_lines(docs, min_words=LONG_LINE).where("__gone = 0 or __gone < __lines")
-    return found.select(*[F.when(F.col("__gone") > 0, F.col("__kept")).otherwise(F.col("text")).alias("text") if c == "text" else F.when(F.col("__gone") > 0, F.length("__kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    found = cut_lines(docs, min_words=LONG_LINE).where("gone = 0 or gone < lines")
+    changed = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    old = {c: F.col("doc").getField(c) for c in docs.columns}
+    return found.select(*(F.when(F.col("gone") > 0, changed[c]).otherwise(old[c]).alias(c) if c in changed else old[c].alias(c) for c in docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
