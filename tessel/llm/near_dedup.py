@@ -15,7 +15,8 @@ different classes may still be linked past the centre:
 * in a larger one each member is reduced to its differences from the centre, the runs that only one of both has.  If
   neither text of a pair lies with the centre, or only one does, the pair can be similar enough only if both share a
   certain number of differences (``reach``), so their first differences, those that few members have before those that
-  many have, have one in common: prefix filtering.  Members with such a difference in common make up smaller buckets.  A pair in
+  many have, have one in common: prefix filtering.  The order comes from counts in ``CELLS`` cells, so it is bounded; any
+  order gives the same links, a good one fewer comparisons.  Members with such a difference in common make up smaller buckets.  A pair in
   one is compared if its sizes and the places of the common difference leave room for enough common ones; where such a
   bucket is large itself, its members are compared with its centre before others are.
 
@@ -35,18 +36,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..storage import Stored
-from .skew import split_join
+from .skew import split_join, with_groups
 from .textscan import U64, Rolling, Words, mix, signed, text_slices, window_starts
 
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
 #: Buckets of up to this many texts are compared pair by pair.
 SMALL = 32
+#: Cells of the counts that order differences by how common they are.
+CELLS = 1 << 18
 #: Pairs of one text with more others than this are dealt to several tasks.
 SALTED = 20_000
 
@@ -205,8 +208,12 @@ def reach(n_centre: np.ndarray, n: np.ndarray, differ: np.ndarray, threshold: fl
     return np.clip(any_x, 0, differ).astype(np.int64), np.clip(far, 0, differ).astype(np.int64)
 
 
+def _cells(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys, 90) % U64(CELLS)).astype(np.int64)
+
+
 def _differences(size: int, threshold: float):
-    """For each (centre a, member b) all differences, and how many of the first ones serve either part."""
+    """For each (centre a, member b) the names of all differences, and how many of the first ones serve either part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in _pair_slices(batches):
@@ -218,9 +225,38 @@ def _differences(size: int, threshold: float):
             twin[1:-1] = (keys[1:] == keys[:-1]) & (docs[1:] == docs[:-1])
             single = np.flatnonzero(~twin[1:] & ~twin[:-1])
             docs, keys = docs[single], keys[single]
+            # a difference is one from this centre
+            centre = np.array([int.from_bytes(a[:8], "little") for a in one.column("a").to_pylist()], U64)
+            keys = mix(keys ^ mix(centre, 91)[docs], 92)
             n_centre, n, differ = (np.bincount(x, minlength=len(one)) for x in (da, db, docs))
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(differ)), pa.int32()), pa.array(signed(keys)))
-            yield pa.RecordBatch.from_arrays([one.column("a"), one.column("b"), lists, *map(pa.array, (n, *reach(n_centre, n, differ, threshold)))], ["a", "b", "runs", "n", "any_x", "far"])
+            yield pa.RecordBatch.from_arrays([one.column("b"), lists, *map(pa.array, (n, *reach(n_centre, n, differ, threshold)))], ["node", "runs", "n", "any_x", "reach"])
+
+    return run
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many differences fall into each cell."""
+    for batch in batches:
+        cell, n = np.unique(_cells(batch.column("runs").flatten().to_numpy().view(U64)), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
+
+
+def _first(common):
+    """A row for each of a member's first differences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, d = batch.column("runs").flatten().to_numpy().view(U64), batch.column("runs").value_lengths().to_numpy()
+            of = np.repeat(np.arange(len(batch)), d)
+            order = np.lexsort((keys, common.value[_cells(keys)], of))
+            any_x, reach_ = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("any_x", "reach"))
+            take = np.maximum(any_x, reach_)
+            row = np.repeat(np.arange(len(batch)), take)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)
+            key = keys[order[(np.cumsum(d) - d)[row] + at]]
+            kept = [batch.column(c).take(pa.array(row)) for c in ("node", "class", "score", "n")]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), *kept, pa.array(d[row]), pa.array(at), pa.array(at < any_x[row]), pa.array(at < reach_[row])], ["key", "node", "class", "score", "n", "d", "at", "x", "far"])
 
     return run
 
@@ -234,11 +270,11 @@ class _Graph:
 
     def _with_texts(self, pairs: DataFrame) -> DataFrame:
         """(a, b, ta, tb) of stored pairs; the text of an ``a`` with many partners is sent to several tasks."""
-        first = self.texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-        second = pairs.join(self.texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        pairs, first = pairs.select("a", "b"), self.texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+        second = pairs.hint("merge").join(self.texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         many = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= SALTED)
         if many.isEmpty():
-            return second.join(first, "a").select("a", "b", "ta", "tb")
+            return second.join(first.hint("merge"), "a").select("a", "b", "ta", "tb")
         # at most one in SALTED pairs is in this table
         salts = self.store.put(many.select("a", "n", (F.floor(F.col("n") / SALTED) + 1).cast("int").alias("salts")), f"salts-{uuid.uuid4().hex}")
         first = first.join(salts.select("a", "salts"), "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
@@ -256,57 +292,57 @@ class _Graph:
         found = self._with_texts(likely).mapInArrow(_verify(self.size), "a binary, b binary, similarity double").where(F.col("similarity") >= self.threshold)
         self.links = self.links.unionByName(self.store.put(found.select("a", "b"), f"links-{name}"))
 
-    def _mixed(self, buckets: DataFrame, name: str) -> DataFrame:
-        """The rows of buckets that hold texts of several classes, with each text's class, the bucket's size and centre.
+    def _classed(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` with each node's class: the least text by two rounds of passing it on along links.
 
-        Classes are the least text by two rounds of passing it on along links.  Texts of one such class are linked, and
-        those that a centre links are in one; a class may have several labels, which costs comparisons but no link.
+        Texts of one such class are linked, and those that a centre links are in one; a class may have several labels, which
+        costs comparisons but no link.
         """
         edges = self.store.put(self.links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(self.links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), f"edges-{name}")
         least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"))
         labels = edges.join(least.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("least").alias("class")).withColumnRenamed("u", "node")
-        placed = buckets.join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        placed = self.store.put(placed, f"placed-{name}")
-        groups = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"), F.max(F.struct("score", "node")).alias("top"))
-        groups = groups.where("low < high").select("key", "n", F.col("n").alias("members"), F.col("top.node").alias("centre"))
-        return self.store.put(split_join(placed, groups, ["key"], "n", placed.count()), f"mixed-{name}")
+        return self.store.put(rows.join(labels, "node", "left").withColumn("class", F.coalesce("class", "node")), f"classed-{name}")
+
+    def _mixed(self, classed: DataFrame, name: str) -> DataFrame:
+        """The rows of buckets that hold texts of several classes, with the bucket's size and centre."""
+        grouped = with_groups(self.store, classed, ["key"], name, low=F.min("class"), high=F.max("class"), members=F.count("*"), top=F.max(F.struct("score", "node")))
+        return self.store.put(grouped.where("low < high").withColumn("centre", F.col("top.node")).drop("low", "high", "top"), f"mixed-{name}")
 
     def resolve(self, buckets: DataFrame) -> None:
-        """Find the links within buckets (key, node, score); a bucket's centre has the greatest score."""
-        tops = buckets.groupBy("key").agg(F.max(F.struct("score", "node")).alias("top"), F.count("*").alias("n")).select("key", "n", F.col("top.node").alias("centre"))
-        stars = split_join(buckets, tops, ["key"], "n", buckets.count()).where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-        self.compare(self.store.put(stars, "stars"), "stars")
+        """Find the links within stored buckets (key, node, score); a bucket's centre has the greatest score."""
+        stars = with_groups(self.store, buckets, ["key"], "stars", top=F.max(F.struct("score", "node"))).select(F.col("top.node").alias("a"), F.col("node").alias("b"))
+        self.compare(self.store.put(stars.where("a <> b").distinct(), "stars"), "stars")
 
-        mixed = self._mixed(buckets, "buckets").where("node <> centre")
+        mixed = self._mixed(self._classed(buckets, "buckets"), "buckets").where("node <> centre")
         p, q = (mixed.where(F.col("members") <= SMALL).select("key", F.col("node").alias(x), F.col("class").alias(f"c{x}")) for x in ("a", "b"))
         across = p.join(q, "key").where("a < b and ca <> cb").select("a", "b")
-        large = self.store.put(mixed.where(F.col("members") > SMALL).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "large")
+        large = self.store.put(mixed.where(F.col("members") > SMALL).select(F.col("centre").alias("a"), F.col("node").alias("b"), "class", "score").distinct(), "large")
         if large.isEmpty():
             self.compare(self.store.put(across.distinct(), "across"), "across")
             return
-        parts = self._mixed(self._parts(large, mixed), "parts")
+        parts = self._mixed(self.store.put(self._parts(large), "parts"), "parts")
         few, many = parts.where(F.col("members") <= SMALL), parts.where(F.col("members") > SMALL)
         centres = many.where("node = centre").select("key", *(F.col(c).alias(f"{c}_y") for c in _PART))
         first = self._qualified(many.where("node <> centre").select("key", *_PART).join(centres, "key"))
         pairs = across.unionByName(self._pairs(few)).unionByName(first)
         self.compare(self.store.put(pairs.distinct(), "across"), "across")
 
-        many = self._mixed(many.drop("class", "members", "centre"), "rest").where("node <> centre")
-        if not many.isEmpty():
-            self.compare(self.store.put(self._pairs(many).distinct(), "rest"), "rest")
+        many = many.drop("class", "members", "centre")
+        if many.isEmpty():
+            return
+        many = self._mixed(self._classed(many, "rest"), "rest").where("node <> centre")
+        self.compare(self.store.put(self._pairs(many).distinct(), "rest"), "rest")
 
-    def _parts(self, large: DataFrame, mixed: DataFrame) -> DataFrame:
-        """Members (b) of large buckets by their first differences from the centre (a): key, node, score and ``_PART``."""
-        differ = self._with_texts(large).mapInArrow(_differences(self.size, self.threshold), "a binary, b binary, runs array<long>, n long, any_x long, far long")
+    def _parts(self, large: DataFrame) -> DataFrame:
+        """Members (b) of large buckets by their first differences from the centre (a): key, score and ``_PART``."""
+        differ = self._with_texts(large).mapInArrow(_differences(self.size, self.threshold), "node binary, runs array<long>, n long, any_x long, reach long")
         differ = self.store.put(differ, "differ")
-        runs = differ.select("a", F.explode("runs").alias("run")).groupBy("a", "run").agg(F.count("*").alias("n")).where("n > 1").select("a", "run", F.col("n").alias("rows"), F.col("n").alias("common"))
-        each = differ.select("a", "b", "n", F.size("runs").alias("d"), "any_x", "far", F.explode("runs").alias("run"))
-        shared = split_join(each, self.store.put(runs, "runs"), ["a", "run"], "rows", differ.agg(F.sum(F.size("runs"))).head()[0] or 0)
-        # differences of one member alone come first; the others by how many have them
-        mine = Window.partitionBy("a", "b")
-        place = F.col("d") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("common", "run")) - 1
-        parts = shared.withColumn("at", place).select(F.xxhash64("a", "run").alias("key"), F.col("b").alias("node"), "n", "d", "at", (F.col("at") < F.col("any_x")).alias("x"), (F.col("at") < F.col("far")).alias("far"))
-        return parts.where("x or far").join(mixed.select("node", "score").distinct(), "node")
+        counts = differ.select("runs").mapInArrow(_common, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        common = np.zeros(CELLS, np.int64)
+        common[counts["cell"].to_numpy()] = counts["n"].to_numpy()
+        sent = self.store.spark.sparkContext.broadcast(common)
+        known = differ.join(large.select(F.col("b").alias("node"), "class", "score").distinct(), "node")
+        return known.mapInArrow(_first(sent), "key long, node binary, class binary, score long, n long, d int, at long, x boolean, far boolean")
 
     def _pairs(self, parts: DataFrame) -> DataFrame:
         """Pairs (a, b) of texts of different classes in a bucket of differences that can be similar enough."""
@@ -341,7 +377,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, doub
     known = rows.where("__id is not null").withColumn("node", F.substring(F.unhex(F.sha2(F.col("text"), 256)), 1, 16))
     signs = store.put(known.select("__id", "node", "text").mapInArrow(_sign(size), "__id long, node binary, bands array<long>, marks binary"), "signs")
     total = signs.count()
-    owners = store.put(signs.groupBy("node").agg(F.min("__id").alias("__id"), F.count("*").alias("n")), "owners")
+    owners = store.put(signs.groupBy("node").agg(F.min("__id").alias("__id"), F.count("*").alias("n"), F.any_value("bands").alias("bands"), F.any_value("marks").alias("marks")), "owners")
 
     # texts of one id are in one class
     nodes = signs.select("__id", "node").distinct()
@@ -351,21 +387,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, doub
     links = store.put(siblings.select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "siblings")
 
     # buckets of two texts or more
-    banded = signs.select("node", F.explode("bands").alias("key"))
-    many = banded.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least < most").select("key", "n", F.col("n").alias("weight"))
-    buckets = store.put(split_join(banded, store.put(many, "many"), ["key"], "n", BANDS * total).distinct(), "buckets")
-    scores = buckets.groupBy("node").agg(F.sum("weight").alias("score"))
-    needed = owners.join(buckets.select("node").distinct(), "node").select("__id", "node")
-    needed = store.put(needed, "needed")
-    texts = store.put(known.join(needed, ["__id", "node"]).select("node", "text").dropDuplicates(["node"]), "texts")
-    marks = store.put(signs.join(needed, ["__id", "node"]).select("node", "marks").dropDuplicates(["node"]), "marks")
+    banded = owners.select("node", F.explode("bands").alias("key"))
+    many = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", "n", F.col("n").alias("weight"))
+    buckets = store.put(split_join(banded, store.put(many, "many"), ["key"], "n", BANDS * total), "buckets")
+    scores = store.put(buckets.groupBy("node").agg(F.sum("weight").alias("score")), "scores")
+    marks = store.put(owners.join(scores, "node").select("node", "__id", "marks"), "marks")
+    # the needed texts grow with the table, so the join is the same at every size
+    texts = store.put(known.join(marks.select("__id", "node").hint("merge"), ["__id", "node"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
     graph = _Graph(store, texts, marks, links, size, threshold, doubt)
     graph.resolve(store.put(buckets.join(scores, "node").select("key", "node", "score"), "scored"))
     classes = connected_components(graph.links, "a", "b").select("node", F.col("component").alias("class"))
 
     # the least id of each class; a text without links is its own class
-    held = store.put(owners.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "held")
+    held = store.put(owners.select("node", "__id", "n").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "held")
     least = held.groupBy("class").agg(F.min("__id").alias("class_id"), F.count("*").alias("texts"))
     classed = store.put(split_join(held, least, ["class"], "texts", total).select("node", "class_id", "n"), "classed")
     found = split_join(signs.select("__id", "node"), classed, ["node"], "n", total).select("__id", "class_id")
