@@ -39,8 +39,8 @@ LONGEST = 8
 NONE = U64(0xFFFFFFFFFFFFFFFF)
 
 
-#: Symbols that make up an anchor, fewer only where a window has no more.
-CHAIN = 4
+#: Symbols that make up an anchor; where a window has fewer inside, all of them.
+CHAIN = 6
 
 
 class Symbols:
@@ -121,7 +121,7 @@ class Windows:
         long = self.last - self.first + 1 >= CHAIN
         self.anchor = np.empty(len(self.starts), U64)
         self.anchor[long] = _least(chains, self.first[long], self.last[long] - CHAIN + 1)
-        self.anchor[~long] = _least(mix(s.names, 33), self.first[~long], self.last[~long])
+        self.anchor[~long] = mix(self.parts.of(self.first[~long], self.last[~long] - self.first[~long] + 1), 33)
 
     def names(self, hit: np.ndarray) -> np.ndarray:
         """Names of the windows ``hit``."""
