@@ -93,7 +93,7 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict:
 def _encoded(path: str, end_id: int, batches: Iterator[pa.RecordBatch]):
     """Ids of slices of the batches, with the end id after each document."""
     for batch in batches:
-        for part in text_slices(batch):
+        for part in text_slices(batch, max_bytes=8 << 20):
             ids, offsets = encoder(path).encode(part.column("text"))
             yield part, np.insert(ids, offsets[1:], end_id), offsets + np.arange(len(offsets))
 
@@ -127,7 +127,9 @@ def write_token_table(docs: DataFrame, to: str, tokenizer: str | None = None, en
     """
     path = tokenizer or default_path()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chosen = rows.select(F.substring("text", 1, 16 * sample_ids).alias("text"), F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(sample_docs)
+    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    least = hashed.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).head()[0]
+    chosen = hashed.where(F.col("h") <= F.lit(least)).dropDuplicates(["h"]).select(F.substring("text", 1, 16 * sample_ids).alias("text"))
     samples = [bytes(r.ids) for r in chosen.select("text").mapInArrow(_sample(path, end_id, sample_ids), "ids binary").collect()]
     raw = train_dictionary(sorted(samples), dictionary_size)
     spark = docs.sparkSession

@@ -47,7 +47,7 @@ def default_path() -> str:
 class Encoder:
     """Ids of texts by the tokenizer file at ``path``; at most ``cache`` pieces are remembered."""
 
-    def __init__(self, path: str, cache: int = 400_000) -> None:
+    def __init__(self, path: str, cache: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
