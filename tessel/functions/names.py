@@ -6,12 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Spellings of the held-out fold, after lower-casing and removal of blanks, "_" and "-".
-ZSV_SPELLINGS = ("zsv", "zeroshot", "zeroshotval", "zeroshotvalidation")
-# Other names of metrics.
-METRIC_ALIASES = {"pearsonr": "pearson", "pearson_r": "pearson", "spearmanr": "spearman", "spearman_r": "spearman", "r_squared": "r2", "mean_squared_error": "mse", "mean_absolute_error": "mae"}
+ZSV_SPELLINGS = ("zsv", "zeroshot", "zeroshotvalidation")
+# Other names of metrics, in lower case with "_" for blanks and "-".
+METRIC_ALIASES = {
+    "acc": "accuracy", "auroc": "auc", "r\u00b2": "r2", "genewise_pearson": "gene_wise_pearson", "gene_wise_pearson_median": "genewise_pearson_median",
+    "samplewise_pearson": "sample_wise_pearson", "sample_wise_pearson_median": "samplewise_pearson_median", "learning_rate": "lr",
+}
 LOWER_IS_BETTER = ("loss", "mse", "rmse", "mae")
-# Split strategies named in run names, in the order in which they are looked for.
-STRATEGIES = ("paralogs_only", "hashfrag", "pangenome", "mmseqs", "blastp", "vgae", "gcn", "loco", "kmer", "gc", "random")
+# Split strategies named in run names, in the order in which they are looked for, and what they are called.
+STRATEGIES = {"hashfrag": "hashfrag", "pangenome": "pangenome", "mmseqs": "mmseqs", "blastp": "blastp", "paralog": "paralogs", "random": "random", "kmer": "kmer", "gc": "gc"}
 
 
 def safe_name(x: Column) -> Column:
@@ -20,23 +23,24 @@ def safe_name(x: Column) -> Column:
 
 
 def mapped_id(sample: Column, region: Column) -> Column:
-    """``{sample}__{region}``."""
-    return F.concat_ws("__", sample, region)
+    """``{sample}__{region}``, each made safe for file names; null if either is."""
+    return F.concat(safe_name(sample), F.lit("__"), safe_name(region.cast("string")))
 
 
 def panel_id(x: Column) -> Column:
-    """What stands after the last "__"; all of it if there is none."""
-    return F.substring_index(x, "__", -1)
+    """What stands after the last "__"; without one the query fails."""
+    return F.when(x.contains("__"), F.substring_index(x, "__", -1)).when(x.isNotNull(), F.raise_error(F.concat(F.lit("no '__' in "), x)).cast("string"))
 
 
 def marked_id(x: Column) -> Column:
     """The digits after the last "__", or the whole of a number; null for anything else."""
-    return F.nullif(F.regexp_extract(panel_id(x), "^([0-9]+)$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.substring_index(x, "__", -1), "^([0-9]+)$", 1), F.lit(""))
 
 
 def accession(x: Column) -> Column:
-    """``GCF_<digits>.<digits>`` if there is one, else what stands before ``_genomic``."""
-    return F.coalesce(F.nullif(F.regexp_extract(x, r"(GCF_\d+\.\d+)", 1), F.lit("")), F.regexp_replace(x, "_genomic.*$", ""))
+    """The ``GCF_<digits>.<digits>`` at the start of a file's name; without one its name, less the last ending, up to ``_genomic``."""
+    stem = F.regexp_replace(F.regexp_replace(x, "^.*/", ""), r"(?<=.)\.[^.]+$", "")
+    return F.coalesce(F.nullif(F.regexp_extract(x, r"^(GCF_\d+\.\d+)", 1), F.lit("")), F.regexp_replace(stem, "_genomic.*$", ""))
 
 
 def _bytes(x: Column) -> Column:
@@ -86,50 +90,60 @@ def is_held_out(x: Column) -> Column:
 
 
 def bucket(role: Column, fold: Column, strategy: str) -> Column:
-    """The bucket of a row: "zsv" over all, else its role, with val folded into train, or its fold."""
+    """The bucket of a row: "zero-shot-validation" over all; TRAIN, TEST or VAL by role, VAL going to TRAIN for "traintest"; or FOLD and the fold's name.
+
+    Unknown roles, and blank folds for "fold", fail the query.
+    """
+    label = fold_label(role)
     if strategy == "fold":
-        rest = fold
+        rest = F.when(F.trim(F.coalesce(fold, F.lit(""))) == "", F.raise_error(F.lit("a fold is blank")).cast("string")).otherwise(F.concat(F.lit("FOLD"), safe_name(fold)))
     elif strategy == "traintest":
-        rest = F.when(fold_label(role) == "val", "train").otherwise(fold_label(role))
+        rest = F.upper(F.when(label == "val", "train").otherwise(label))
     elif strategy == "traintestval":
-        rest = fold_label(role)
+        rest = F.upper(label)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    return F.when(is_held_out(fold) | is_held_out(role), "zsv").otherwise(rest)
+    unknown = F.raise_error(F.concat(F.lit("unknown role "), F.coalesce(role, F.lit("null")))).cast("string")
+    return F.when(is_held_out(fold) | is_held_out(role), "zero-shot-validation").when(~F.coalesce(label.isin("train", "test", "val"), F.lit(False)), unknown).otherwise(rest)
 
 
 def without_prefix(x: Column, how: str) -> Column:
-    """Identifier dialects: "gene" and "cds" lose that prefix, "ctl" turns CTL0001 into CT_001."""
-    if how in ("gene", "cds"):
-        return F.regexp_replace(x, f"^{how}-", "")
+    """Identifier dialects, blanks and quotes around them aside: "gene" and "cds" (in any case) lose that prefix, "ctl" turns CTL0001 into CT_001."""
+    bare = F.regexp_replace(F.trim(x), '^"+|"+$', "")
+    if how == "gene":
+        return F.regexp_replace(bare, "^gene-", "")
+    if how == "cds":
+        return F.regexp_replace(bare, "(?i)^cds-", "")
     if how == "ctl":
-        number = F.regexp_extract(x, "^CTL0*([0-9]+)$", 1)
-        return F.when(number != "", F.concat(F.lit("CT_"), F.lpad(number, 3, "0"))).otherwise(x)
+        number = F.regexp_extract(bare, "(?i)^CTL0*([0-9]+)$", 1)
+        return F.when(number != "", F.concat(F.lit("CT_"), F.lpad(number, F.greatest(F.length(number), F.lit(3)), F.lit("0")))).otherwise(bare)
     if how == "none":
-        return x
+        return bare
     raise ValueError(f"unknown transform {how!r}")
 
 
 def chromosome_token(x: Column) -> Column:
-    """Number, X, Y or MT of a chromosome's name, "unplaced" for scaffolds, null where the name has no number."""
-    up = F.upper(F.trim(x))
-    core = F.regexp_replace(up, "^CHR(OMOSOME)?_?", "")
-    number = F.regexp_extract(core, "^0*([1-9][0-9]?)$", 1)
+    """Number, X, Y or MT of a chromosome's name, "unplaced" for scaffolds and blank names, null for other names."""
+    bare = F.trim(F.coalesce(x, F.lit("")))
+    core = F.regexp_extract(bare, "(?i)^(?:chr|chromosome)?[_ ]?([0-9]+|X|Y|M|MT|MITO)$", 1)
+    up = F.upper(core)
+    number = F.regexp_replace(core, "^0+(?=[0-9])", "")
     return (
-        F.when(number != "", number)
-        .when(core.isin("X", "Y"), core)
-        .when(core.isin("M", "MT", "MITO", "MITOCHONDRION"), "MT")
-        .when(up.rlike("^(NW_|NT_|UN|SCAFFOLD|CONTIG)|UNPLACED|UNLOCALIZED"), "unplaced")
+        F.when(bare == "", "unplaced")
+        .when(core.rlike("^[0-9]+$"), number)
+        .when(up.isin("X", "Y"), up)
+        .when(up.isin("M", "MT", "MITO"), "MT")
+        .when(bare.rlike("(?i)^(NW_|NT_|unplaced)|unplaced|_random_|_alt"), "unplaced")
     )
 
 
 def strategy_of(run: Column) -> Column:
-    """The first strategy whose name is in the run's name, else "other"."""
+    """The first strategy whose name is in the run's name, else "unknown"."""
     low = F.lower(run)
     out = F
-    for name in STRATEGIES:
-        out = out.when(low.contains(name), name)
-    return out.otherwise("other")
+    for part, name in STRATEGIES.items():
+        out = out.when(low.contains(part), name)
+    return out.otherwise("unknown")
 
 
 def strategy_number(run: Column, letter: str) -> Column:
@@ -138,14 +152,15 @@ def strategy_number(run: Column, letter: str) -> Column:
 
 
 def metric_name(x: Column) -> Column:
-    low = F.regexp_replace(F.lower(F.trim(x)), "[ -]+", "_")
-    low = F.regexp_replace(low, "^(val|validation|train|test)[_/]", "")
+    low = F.regexp_replace(F.lower(F.trim(x)), "[ -]", "_")
     names = F.create_map(*[F.lit(v) for kv in METRIC_ALIASES.items() for v in kv])
     return F.coalesce(names[low], low)
 
 
 def lower_is_better(x: Column) -> Column:
-    return metric_name(x).isin(*LOWER_IS_BETTER)
+    """By name; of unknown metrics those are that speak of a loss or end in "error"."""
+    name = metric_name(x)
+    return name.isin(*LOWER_IS_BETTER) | name.contains("loss") | name.endswith("error")
 
 
 def relation(homology_type: Column) -> Column:

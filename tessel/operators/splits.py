@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,34 +110,30 @@ def two_level_split(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return second.withColumn("class", F.when(F.col("m1") == "train", 0).when(F.col("m1") == "val", 1).otherwise(2))
 
 
-def greedy_roles(folds: DataFrame, fold: str, size: str, ratios: Ratios | None = None) -> DataFrame:
-    """(fold, size, train_test): largest fold first, each to the role that leaves the least total deviation.
+def greedy_roles(folds: DataFrame, fold: str, size: str, ratios: Ratios | None = None, most_folds: int = 1_000_000) -> DataFrame:
+    """(fold, size, train_test): largest fold first, each to the role after which the shares of what has been dealt out are
+    nearest to the wanted ones (sum of absolute differences); of equal ones the least name, test before train before val.
 
-    Ties go to test, then train, then val.  The folds' table is an ordered list by nature; it has a row per fold, not
-    per member.
+    Fewer than three folds are train and val in the order of their names.  The rule is sequential, so the folds, one small
+    row each and at most ``most_folds``, are dealt out on the driver; members are not.
     """
     r = ratios or Ratios()
-    order = ("test", "train", "val")
-    items = F.array_sort(F.collect_list(F.struct((-F.col(size)).cast("long").alias("minus"), F.col(fold).alias("fold"))))
-    total = F.sum(size)
-
-    def step(a: Column, x: Column) -> Column:
-        n = -x["minus"]
-        new = {o: a[o] + n for o in order}
-        cost = {o: sum((F.abs((new[p] if p == o else a[p]) - a["total"] * F.lit(r.share(p))) for p in order), F.lit(0.0)) for o in order}
-        best = F.least(*cost.values()) + 1e-9
-        pick = F.when(cost["test"] <= best, "test").when(cost["train"] <= best, "train").otherwise("val")
-        return F.struct(
-            *[(a[o] + F.when(pick == o, n).otherwise(F.lit(0).cast("long"))).alias(o) for o in order],
-            a["total"].alias("total"),
-            F.concat(a["done"], F.array(F.struct(x["fold"].alias("fold"), n.alias("size"), pick.alias("train_test")))).alias("done"),
-        )
-
+    rows = folds.select(F.col(fold), F.col(size).cast("long")).orderBy(F.desc(size), fold).limit(most_folds + 1).collect()
+    if len(rows) > most_folds:
+        raise ValueError(f"more than {most_folds} folds")
+    order, want = ("test", "train", "val"), {o: r.share(o) for o in ROLES}
+    have, out = dict.fromkeys(order, 0), []
+    if len(rows) < 3:
+        out = [(f, n, o) for (f, n), o in zip(sorted((r[0], r[1]) for r in rows), ("train", "val"), strict=False)]
+    else:
+        for f, n in rows:
+            total = sum(have.values()) + n
+            cost = {o: sum(abs((have[p] + n * (p == o)) / max(total, 1) - want[p]) for p in order) for o in order}
+            pick = next(o for o in order if cost[o] <= min(cost.values()) + 1e-12)
+            have[pick] += n
+            out.append((f, n, pick))
     kind = folds.schema[fold].dataType.simpleString()
-    begin = F.struct(*[F.lit(0).cast("long").alias(o) for o in order], F.col("total"), F.array().cast(f"array<struct<fold:{kind},size:bigint,train_test:string>>").alias("done"))
-    out = folds.agg(items.alias("items"), total.cast("double").alias("total"))
-    out = out.select(F.inline(F.aggregate("items", begin, step, lambda a: a["done"])))
-    return out.select(F.col("fold").alias(fold), F.col("size").alias(size), "train_test")
+    return folds.sparkSession.createDataFrame(out, f"`{fold}` {kind}, `{size}` long, train_test string")
 
 
 def shuffled_roles(folds: DataFrame, fold: str, seed: int = 0, ratios: Ratios | None = None) -> DataFrame:
@@ -208,25 +205,66 @@ def paralogs_only_split(genes: DataFrame, gene: str, orthogroup: str, degree: st
     return first.where("__first").drop("__first").withColumn("train_test", F.lit("train")).unionByName(halves)
 
 
-def quota_assign(scores: DataFrame, key: str, ratios: Ratios | None = None) -> DataFrame:
-    """``scores`` (key, train, val, test) with ``train_test``: roles fill their quotas by score, largest quota first."""
+#: The order in which roles of equal quotas are filled.
+FILL_ORDER = ("train", "test", "val")
+
+
+def quotas(n: int, ratios: Ratios | None = None) -> dict[str, int]:
+    """Rows per role by largest remainders; a role without any takes one from the largest."""
     r = ratios or Ratios()
-    n = scores.count()
-    exact = {o: n * r.share(o) for o in ROLES}
-    quota = {o: int(exact[o] + 1e-9) for o in ROLES}
-    for o in sorted(ROLES, key=lambda o: (-(exact[o] - quota[o]), ROLES.index(o)))[: n - sum(quota.values())]:
-        quota[o] += 1
+    exact = {o: n * r.share(o) for o in FILL_ORDER}
+    out = {o: int(exact[o] + 1e-9) for o in FILL_ORDER}
+    for o in sorted(FILL_ORDER, key=lambda o: (-round(exact[o] - out[o], 9), FILL_ORDER.index(o)))[: n - sum(out.values())]:
+        out[o] += 1
+    for o in FILL_ORDER:
+        if not out[o]:
+            rich = max(FILL_ORDER, key=lambda p: (out[p], -FILL_ORDER.index(p)))
+            if out[rich] <= 1:
+                raise ValueError(f"{n} rows are too few for three roles")
+            out[rich] -= 1
+            out[o] = 1
+    return out
+
+
+def _greatest(rows: DataFrame, by: str, key: str, n: int, cells: int = 4096) -> DataFrame:
+    """``rows`` with ``__top``: whether a row is among the ``n`` of greatest ``by``, ties by ``key``.
+
+    The cut is found by counts: ranges of the value that hold it are narrowed until one holds few rows, and only these are
+    ordered, so no task sorts the table.
+    """
+    v, low, high, above = F.col(by).cast("double"), float("-inf"), float("inf"), 0
+    while True:
+        part = rows.where((v > low) & (v <= high)) if low > float("-inf") else rows.where(v <= high)
+        s = part.agg(F.count("*").alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).head()
+        if not s.n or s.n <= 100_000 or s.lo == s.hi:
+            break
+        width = (s.hi - s.lo) / cells
+        cell = F.least(F.lit(cells - 1), F.floor((v - s.lo) / width))
+        found = None
+        for r in sorted(part.groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).collect(), key=lambda r: -r.c):
+            if above + r.n >= n:
+                found = r
+                break
+            above += r.n
+        if found is None or (found.lo, found.hi) == (s.lo, s.hi):
+            break
+        low, high = float(np.nextafter(found.lo, -np.inf)), found.hi
+    edge = part.orderBy(F.desc(by), key).limit(max(n - above, 0)).select(F.col(key).alias("__edge"))
+    marked = rows.join(edge, F.col(key) == F.col("__edge"), "left")
+    return marked.withColumn("__top", (v > high) | F.col("__edge").isNotNull()).drop("__edge")
+
+
+def quota_assign(scores: DataFrame, key: str, ratios: Ratios | None = None) -> DataFrame:
+    """``scores`` (key, train, val, test) with ``train_test``: roles fill their quotas by score, the largest first, equal ones in the order of ``FILL_ORDER``."""
+    quota = quotas(scores.count(), ratios)
     left, out = scores, None
-    order = sorted(ROLES, key=lambda o: (-quota[o], ROLES.index(o)))
-    for i, o in enumerate(order):
-        if i == len(order) - 1:
-            part = left.withColumn("train_test", F.lit(o))
-            return out.unionByName(part) if out is not None else part
-        top = left.orderBy(F.desc(o), key).limit(quota[o])
-        part = top.withColumn("train_test", F.lit(o))
+    order = sorted(FILL_ORDER, key=lambda o: (-quota[o], FILL_ORDER.index(o)))
+    for o in order[:-1]:
+        marked = _greatest(left, o, key, quota[o])
+        part = marked.where("__top").drop("__top").withColumn("train_test", F.lit(o))
         out = part if out is None else out.unionByName(part)
-        left = left.join(top.select(F.col(key).alias("__key")), F.col(key) == F.col("__key"), "left_anti")
-    return out
+        left = marked.where("not __top").drop("__top")
+    return out.unionByName(left.withColumn("train_test", F.lit(order[-1])))
 
 
 def cv_folds(clusters: DataFrame, cluster: str, size: str, n: int) -> DataFrame:

@@ -26,17 +26,21 @@ def _(t):
     return t.customer.select("c_custkey", N.safe_name(F.concat("c_name", F.lit(" /"), "c_mktsegment", F.lit("#"))).alias("name"))
 
 
-@R.add("f02_f03_composite_ids", "select l_orderkey, l_linenumber, l_orderkey::varchar || '__' || l_linenumber::varchar as id, l_linenumber::varchar as panel, l_linenumber::varchar as marked from lineitem")
+@R.add("f02_f03_composite_ids", "select l_orderkey, l_linenumber, 'S_' || l_orderkey::varchar || '__' || case when l_linenumber = 1 then 'sample' else 'r.' || l_linenumber::varchar end as id, case when l_linenumber = 1 then 'sample' else 'r.' || l_linenumber::varchar end as panel, null::varchar as marked, l_linenumber::varchar as marked_number from lineitem")
 def _(t):
-    x = t.lineitem.select("l_orderkey", "l_linenumber", N.mapped_id(F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"))
-    return x.select("*", N.panel_id(F.col("id")).alias("panel"), N.marked_id(F.col("id")).alias("marked"))
+    region = F.when(F.col("l_linenumber") == 1, F.lit(" /#")).otherwise(F.concat(F.lit("_r."), F.col("l_linenumber").cast("string"), F.lit("? ")))
+    x = t.lineitem.select("l_orderkey", "l_linenumber", N.mapped_id(F.concat(F.lit("/S "), F.col("l_orderkey").cast("string")), region).alias("id"))
+    return x.select("*", N.panel_id(F.col("id")).alias("panel"), N.marked_id(F.col("id")).alias("marked"), N.marked_id(F.concat(F.lit("a__"), F.col("l_linenumber").cast("string"))).alias("marked_number"))
 
 
-@R.add("f04_accession", "select s_suppkey, 'GCF_' || lpad(s_suppkey::varchar, 9, '0') || '.1' as accession, 'plain' || s_suppkey::varchar as stem from supplier")
+@R.add("f04_accession", "select s_suppkey, 'GCF_' || lpad(s_suppkey::varchar, 9, '0') || '.1' as accession, 'plain' || s_suppkey::varchar as stem, 'x_GCF_000000001.1_asm' as inner_name, 'GCF_nodot' as no_version from supplier")
 def _(t):
     k = F.col("s_suppkey").cast("string")
     name = F.concat(F.lit("GCF_"), F.lpad(k, 9, "0"), F.lit(".1_asm_genomic.gtf"))
-    return t.supplier.select("s_suppkey", N.accession(name).alias("accession"), N.accession(F.concat(F.lit("plain"), k, F.lit("_genomic.gtf"))).alias("stem"))
+    return t.supplier.select(
+        "s_suppkey", N.accession(name).alias("accession"), N.accession(F.concat(F.lit("plain"), k, F.lit("_genomic.gtf"))).alias("stem"),
+        N.accession(F.lit("x_GCF_000000001.1_asm_genomic.gtf")).alias("inner_name"), N.accession(F.lit("GCF_nodot.fna")).alias("no_version"),
+    )
 
 
 @R.add("f05_f06_fnv_folds", """
@@ -85,9 +89,9 @@ def _(t):
     return sequences(t).select("p_partkey", Q.gc_fraction(F.col("seq")).alias("gc"), Q.aaa_percent(F.col("seq")).alias("aaa"))
 
 
-@R.add("f16_v06_stitch", f"select p_partkey, 'AGGACCGGATCAACT' || seq || 'CATTGCGTGAACCGA' as insert_seq from (select p_partkey, {SEQ_SQL} as seq from part) where length(seq) = 29")
+@R.add("f16_v06_stitch", f"select p_partkey, 'AGGACCGGATCAACT' || seq || 'CATTGCGTGAACCGA' as insert_seq from (select p_partkey, {SEQ_SQL} as seq from part) where length(seq) = 22")
 def _(t):
-    s = sequences(t).where(Q.has_length(F.col("seq"), 29))
+    s = sequences(t).where(Q.has_length(F.col("seq"), 22))
     return s.select("p_partkey", Q.stitch(F.col("seq"), "AGGACCGGATCAACT", "CATTGCGTGAACCGA").alias("insert_seq"))
 
 
@@ -111,27 +115,35 @@ def _(t):
     return s.select("p_partkey", Q.spliced(exons, F.col("seq"), F.when(F.col("p_size") % 2 == 0, "+").otherwise("-")).alias("cds"))
 
 
-@R.add("f19_prefixes", "select s_suppkey, s_name as gene, case when length(s_suppkey::varchar) <= 3 then 'CT_' || lpad(s_suppkey::varchar, 3, '0') else 'CT_' || substr(s_suppkey::varchar, 1, 3) end as ctl from supplier")
+@R.add("f19_prefixes", "select s_suppkey, s_name as gene, s_name as cds, 'CT_' || case when length(s_suppkey::varchar) < 3 then lpad(s_suppkey::varchar, 3, '0') else s_suppkey::varchar end as ctl, 'gene-' || s_name as other from supplier")
 def _(t):
     k = F.col("s_suppkey").cast("string")
-    digits = F.when(F.length(k) < 4, F.lpad(k, 4, "0")).otherwise(k)
-    return t.supplier.where("s_suppkey > 0").select("s_suppkey", N.without_prefix(F.concat(F.lit("gene-"), "s_name"), "gene").alias("gene"), N.without_prefix(F.concat(F.lit("CTL"), digits), "ctl").alias("ctl")).unionByName(
-        t.supplier.where("s_suppkey <= 0").select("s_suppkey", F.col("s_name").alias("gene"), F.lit("CT_000").alias("ctl"))
-    )
+    quoted = lambda p, x: F.concat(F.lit(' "' + p), x, F.lit('" '))
+    return t.supplier.select(
+        "s_suppkey", N.without_prefix(quoted("gene-", F.col("s_name")), "gene").alias("gene"), N.without_prefix(quoted("CDS-", F.col("s_name")), "cds").alias("cds"),
+        N.without_prefix(quoted("ctl00", k), "ctl").alias("ctl"), N.without_prefix(F.concat(F.lit("gene-"), "s_name"), "cds").alias("other"),
+    )
 
 
-@R.add("f20_chromosome_token", """
-select n_nationkey, case when n_nationkey between 1 and 22 then n_nationkey::varchar when n_nationkey = 23 then 'X' when n_nationkey = 24 then 'MT' else 'unplaced' end as token from nation""")
+#: Names of chromosomes, and their tokens.
+_CHROMOSOMES = {
+    "chr1": "1", "007": "7", "chr 7": "7", "CHROMOSOME_12": "12", "chr100": "100", "x": "X", "chrY": "Y", "MT": "MT", "chrM": "MT", "Mito": "MT", "": "unplaced", "  ": "unplaced",
+    "NW_001": "unplaced", "nt_9": "unplaced", "chr1_random_2": "unplaced", "chr3_alt": "unplaced", "my_Unplaced_1": "unplaced", "scaffold_9": None, "NC_000001.11": None, "chr": None,
+}
+
+
+@R.add("f20_chromosome_token", "select n_nationkey, raw, token from nation cross join (values " + ", ".join(f"('{a}', {'null' if b is None else repr(b)})" for a, b in _CHROMOSOMES.items()) + ") as v(raw, token)")
 def _(t):
-    k = F.col("n_nationkey")
-    name = F.when(k.between(1, 22), F.concat(F.lit("chr"), k.cast("string"))).when(k == 23, "chrX").when(k == 24, "MT").otherwise("NW_0001")
-    return t.nation.select("n_nationkey", N.chromosome_token(name).alias("token"))
+    rows = t.nation.select("n_nationkey", F.explode(F.array(*map(F.lit, _CHROMOSOMES))).alias("raw"))
+    return rows.select("*", N.chromosome_token(F.col("raw")).alias("token"))
 
 
-@R.add("f21_run_names", "select l_orderkey, l_linenumber, case l_linenumber % 3 when 0 then 'kmer' when 1 then 'pangenome' else 'random' end as strategy, case when l_linenumber % 3 < 2 then l_linenumber end as k from lineitem")
+@R.add("f21_run_names", """
+select l_orderkey, l_linenumber, case l_linenumber when 1 then 'kmer' when 2 then 'pangenome' when 3 then 'paralogs' when 4 then 'hashfrag' when 5 then 'gc' when 6 then 'random' else 'unknown' end as strategy,
+ case when l_linenumber <= 2 then l_linenumber end as k from lineitem""")
 def _(t):
     n = F.col("l_linenumber")
-    run = F.when(n % 3 == 0, F.concat(F.lit("run9_kmer_k"), n.cast("string"), F.lit("_legnet"))).when(n % 3 == 1, F.concat(F.lit("run9_pangenome_k"), n.cast("string"))).otherwise("run9_random")
+    run = F.when(n == 1, F.lit("run9_kmer_k1_legnet")).when(n == 2, "run9_pangenome_kmer_k2").when(n == 3, "run5_Paralog_x").when(n == 4, "random_hashfrag").when(n == 5, "run_GC").when(n == 6, "run9_random_paralo").otherwise("run_loco")
     return t.lineitem.select("l_orderkey", "l_linenumber", N.strategy_of(run).alias("strategy"), N.strategy_number(run, "k").alias("k"))
 
 
@@ -141,28 +153,26 @@ def _(t):
     return x.select("*", F.from_json("additional", "balance long, nation int")["nation"].alias("nation"))
 
 
-@R.add("f23_metric_names", "select event_id, case event_type when 'view' then 'pearson' when 'click' then 'mse' else event_type end as metric, event_type = 'click' as lower_better from events")
-def _(t):
-    raw = F.when(F.col("event_type") == "view", "Val_PearsonR").when(F.col("event_type") == "click", "test/mean squared error").otherwise(F.col("event_type"))
-    return t.events.select("event_id", N.metric_name(raw).alias("metric"), N.lower_is_better(raw).alias("lower_better"))
+#: Spellings of metrics, their names, and whether less is better.
+_METRICS = {
+    "AUROC": ("auc", False), " Acc ": ("accuracy", False), "Genewise Pearson": ("gene_wise_pearson", False), "gene-wise-pearson-median": ("genewise_pearson_median", False), "Learning Rate": ("lr", False),
+    "samplewise_pearson": ("sample_wise_pearson", False), "MSE": ("mse", True), "val loss": ("val_loss", True), "mean squared error": ("mean_squared_error", True), "R2": ("r2", False),
+}
 
 
-@R.add("f25_kmer_packing", f"""
-with s as (select p_partkey, substr({SEQ_SQL}, 1, 8) as k from part),
-v as (select p_partkey, k, list_sum(list_transform(range(1, 9), lambda i: (strpos('ACGT', substr(k, i, 1)) - 1) * pow(4, 8 - i)))::bigint as code from s where length(k) = 8 and not contains(k, 'N'))
-select p_partkey, code, k as kmer from v""")
+@R.add("f23_metric_names", "select event_id, raw, metric, lower_better from events cross join (values " + ", ".join(f"('{k}', '{a}', {str(b).lower()})" for k, (a, b) in _METRICS.items()) + ") as v(raw, metric, lower_better)")
 def _(t):
-    s = sequences(t).select("p_partkey", F.substring("seq", 1, 8).alias("k")).where("length(k) = 8 and not contains(k, 'N')")
-    return s.select("p_partkey", Q.pack_kmer(F.col("k")).alias("code")).select("*", Q.unpack_kmer(F.col("code"), 8).alias("kmer"))
+    rows = t.events.select("event_id", F.explode(F.array(*map(F.lit, _METRICS))).alias("raw"))
+    return rows.select("*", N.metric_name(F.col("raw")).alias("metric"), N.lower_is_better(F.col("raw")).alias("lower_better"))
 
 
-@R.add("f25_kmer_packing_whole", f"""
-with s as (select p_partkey, {SEQ_SQL} as seq from part), w as (select p_partkey, unnest(list_transform(range(1, length(seq) - 6), lambda i: substr(seq, i, 8))) as k from s),
-v as (select p_partkey, k, list_sum(list_transform(range(1, 9), lambda i: (strpos('ACGT', substr(k, i, 1)) - 1) * pow(4, 8 - i)))::bigint as code from w where not contains(k, 'N'))
+@R.add("f25_kmer_packing", f"""
+with s as (select p_partkey, {SEQ_SQL} as seq from part), w as (select p_partkey, unnest(list_transform(range(1, length(seq) - 3), lambda i: substr(seq, i, 5))) as k from s),
+v as (select p_partkey, k, list_sum(list_transform(range(1, 6), lambda i: (strpos('ACGT', substr(k, i, 1)) - 1) * pow(4, 5 - i)))::bigint as code from w where not contains(k, 'N'))
 select p_partkey, code, k as kmer from v""")
 def _(t):
-    s = sequences(t).select("p_partkey", F.explode(Q.kmers(F.col("seq"), 8)).alias("k"))
-    return s.select("p_partkey", Q.pack_kmer(F.col("k")).alias("code")).select("*", Q.unpack_kmer(F.col("code"), 8).alias("kmer"))
+    s = sequences(t).select("p_partkey", F.explode(Q.kmers(F.col("seq"), 5)).alias("k"))
+    return s.select("p_partkey", Q.pack_kmer(F.col("k")).alias("code")).select("*", Q.unpack_kmer(F.col("code"), 5).alias("kmer"))
 
 
 @R.add("f26_timestamps", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as iso from events")
@@ -171,13 +181,15 @@ def _(t):
 
 
 @R.add("v10_v11_labels", """
-select l_orderkey, l_linenumber, role, case when role = 'zsv' then 'zsv' when role = 'val' then 'train' else role end as bucket
+select l_orderkey, l_linenumber, role, case role when 'zsv' then 'zero-shot-validation' when 'val' then 'TRAIN' else upper(role) end as two, case role when 'zsv' then 'zero-shot-validation' else upper(role) end as three,
+ case role when 'zsv' then 'zero-shot-validation' else 'FOLDf_' || l_linenumber end as fold, 'zeroshotval' as other
 from (select l_orderkey, l_linenumber, case l_linenumber % 4 when 0 then 'zsv' when 1 then 'val' when 2 then 'train' else 'test' end as role from lineitem)""")
 def _(t):
     n = F.col("l_linenumber") % 4
-    raw = F.when(n == 0, " Zero-Shot_val ").when(n == 1, "Validation").when(n == 2, "TRAIN").otherwise("Test ")
-    x = t.lineitem.select("l_orderkey", "l_linenumber", N.fold_label(raw).alias("role"))
-    return x.select("*", N.bucket(F.col("role"), F.lit("0"), "traintest").alias("bucket"))
+    raw = F.when(n == 0, " Zero-Shot_validation ").when(n == 1, "Validation").when(n == 2, "TRAIN").otherwise("Test ")
+    x = t.lineitem.select("l_orderkey", "l_linenumber", N.fold_label(raw).alias("role"), F.concat(F.lit("f "), F.col("l_linenumber").cast("string")).alias("f"))
+    kinds = {"two": "traintest", "three": "traintestval", "fold": "fold"}
+    return x.select("l_orderkey", "l_linenumber", "role", *(N.bucket(F.col("role"), F.col("f"), k).alias(c) for c, k in kinds.items()), N.fold_label(F.lit("zeroshotval")).alias("other"))
 
 
 @R.add("k01_kmer_counts", f"""

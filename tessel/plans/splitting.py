@@ -53,16 +53,16 @@ def _(t):
 
 
 @R.add("l05_greedy_roles", """
-with recursive f as (select c_nationkey, count(*) as size, row_number() over (order by count(*) desc, c_nationkey) as i, sum(count(*)) over () as total from customer group by 1),
+with recursive f as (select c_nationkey, count(*) as size, row_number() over (order by count(*) desc, c_nationkey) as i from customer group by 1),
 g as (select 0::bigint as i, 0::bigint as te, 0::bigint as tr, 0::bigint as va, -1 as c_nationkey, 0::bigint as size, '' as train_test
   union all
   select i, te + (case when pick = 'test' then size else 0 end)::bigint, tr + (case when pick = 'train' then size else 0 end)::bigint, va + (case when pick = 'val' then size else 0 end)::bigint, k, size, pick
-  from (select f.i, g.te, g.tr, g.va, f.c_nationkey as k, f.size,
-          case when ct <= least(ct, cr, cv) + 1e-9 then 'test' when cr <= least(ct, cr, cv) + 1e-9 then 'train' else 'val' end as pick
-        from g join f on f.i = g.i + 1,
-          lateral (select abs(g.te + f.size - f.total * 0.2) + abs(g.tr - f.total * 0.6) + abs(g.va - f.total * 0.2) as ct,
-                          abs(g.te - f.total * 0.2) + abs(g.tr + f.size - f.total * 0.6) + abs(g.va - f.total * 0.2) as cr,
-                          abs(g.te - f.total * 0.2) + abs(g.tr - f.total * 0.6) + abs(g.va + f.size - f.total * 0.2) as cv) x))
+  from (select *, case when ct <= least(ct, cr, cv) + 1e-12 then 'test' when cr <= least(ct, cr, cv) + 1e-12 then 'train' else 'val' end as pick
+        from (select f.i, g.te, g.tr, g.va, f.c_nationkey as k, f.size, g.te + g.tr + g.va + f.size as n,
+                abs((g.te + f.size) / n - 0.2) + abs(g.tr / n - 0.6) + abs(g.va / n - 0.2) as ct,
+                abs(g.te / n - 0.2) + abs((g.tr + f.size) / n - 0.6) + abs(g.va / n - 0.2) as cr,
+                abs(g.te / n - 0.2) + abs(g.tr / n - 0.6) + abs((g.va + f.size) / n - 0.2) as cv
+              from g join f on f.i = g.i + 1)))
 select c_nationkey, size, train_test from g where i > 0""")
 def _(t):
     return L.greedy_roles(t.customer.groupBy("c_nationkey").agg(F.count("*").alias("size")), "c_nationkey", "size")
@@ -124,10 +124,12 @@ def _(t):
 
 @R.add("l13_quota_assign", """
 with s as (select c_custkey, c_acctbal as train, -c_acctbal as val, c_custkey % 97 as test, count(*) over () as n from customer),
+e as (select n, floor(n * 0.6 + 1e-9) as a, floor(n * 0.2 + 1e-9) as b from s limit 1),
+q as (select a + (n - a - 2 * b >= 1 and n * 0.6 - a >= n * 0.2 - b - 1e-9 or n - a - 2 * b >= 3)::int as qa, b + (case when n * 0.6 - a >= n * 0.2 - b - 1e-9 then n - a - 2 * b >= 2 else n - a - 2 * b >= 1 end)::int as qt from e),
 a as (select *, row_number() over (order by train desc, c_custkey) as r from s),
-b as (select *, row_number() over (order by val desc, c_custkey) as r2 from a where r > floor(n * 0.6 + 1e-9) + 0)
-select c_custkey, case when r <= floor(n * 0.6 + 1e-9) then 'train' end as train_test from a where r <= floor(n * 0.6 + 1e-9)
-union all select c_custkey, case when r2 <= floor(n * 0.2 + 1e-9) then 'val' else 'test' end from b""")
+b as (select *, row_number() over (order by test desc, c_custkey) as r2 from a where r > (select qa from q))
+select c_custkey, 'train' as train_test from a where r <= (select qa from q)
+union all select c_custkey, case when r2 <= (select qt from q) then 'test' else 'val' end from b""")
 def _(t):
     s = t.customer.select("c_custkey", F.col("c_acctbal").alias("train"), (-F.col("c_acctbal")).alias("val"), (F.col("c_custkey") % 97).alias("test"))
     return L.quota_assign(s, "c_custkey").select("c_custkey", "train_test")

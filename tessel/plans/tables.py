@@ -186,9 +186,10 @@ def _(t):
     return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@R.add("u03_difference", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@R.add("u03_difference", "select p_partkey from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_linenumber = 7)")
 def _(t):
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    late = t.lineitem.where("l_linenumber = 7")
+    return t.part.join(late, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
 
 
 @R.add("m07_correlation_matrix", """

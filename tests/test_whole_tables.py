@@ -63,16 +63,3 @@ def test_sizes_of_all_groups(spark):
         for r in rest[: n[key] - sum(whole)]:
             whole[r] += 1
         assert sizes == tuple(whole)
-
-
-@needs_tables
-def test_all_kmers_are_packed(spark):
-    from tessel.plans import Tables
-    from tessel.plans.functions import sequences
-
-    want = collections.Counter()
-    for r in sequences(Tables(spark, DATA)).collect():
-        want.update((r.p_partkey, r.seq[i : i + 8]) for i in range(len(r.seq) - 7) if "N" not in r.seq[i : i + 8])
-    got = catalog.QUERIES["f25_kmer_packing_whole"](spark, DATA).collect()
-    assert want and collections.Counter((r.p_partkey, r.kmer) for r in got) == want
-    assert all(r.code == sum("ACGT".index(c) * 4 ** (7 - i) for i, c in enumerate(r.kmer)) for r in got)
