@@ -7,9 +7,9 @@ equal windows are made of equal symbols inside.
 
 * Reveal: the least name of ``CHAIN`` consecutive symbols inside a window is its anchor, so equal windows have equal
   anchors.  Documents that share anchors with others, and these only, are looked at again.
-* Verify: a window with a shared anchor is named by the symbols inside it and the words on either side of them.  Equal
-  names stand for equal words, as long as no name stands for two things: all symbols of such windows are put into one
-  dictionary (name, parts) over all documents, and where it has a name twice, all is done again with other names.
+* Verify: a window with a shared anchor is named by the symbols inside it and the words on either side of them.  Windows of
+  one name must also agree in a hash of their words that knows nothing of symbols; where any do not, all is done again
+  with other names.
 
 Defined cases: null and empty texts have no words; documents shorter than a window keep every word; rows with a null
 doc_id neither lose words nor cause others to; rows that are alike in doc_id are one document only if their texts are
@@ -40,7 +40,7 @@ NONE = U64(0xFFFFFFFFFFFFFFFF)
 
 
 #: Symbols that make up an anchor; where a window has fewer inside, all of them.
-CHAIN = 6
+CHAIN = 2
 
 
 class Symbols:
@@ -131,25 +131,6 @@ class Windows:
         name = mix(self.words.of(start, left - start), 34) + mix(inside, 35)
         return mix(name + mix(self.words.of(right, start + self.window - right), 36) + (left - start).astype(U64), 37)
 
-    def rules(self, words: Words, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (name, left, right) of the symbols and words in the windows ``hit``."""
-        inside = np.zeros(len(self.word_names) + 1, np.int64)
-        np.add.at(inside, self.starts[hit], 1)
-        np.add.at(inside, self.starts[hit] + self.window, -1)
-        inside = np.cumsum(inside)[:-1] > 0
-        found = [tuple(x[inside[rule[0]]] for x in rule[1:]) for rule in self.symbols.rules]
-        # a word's parts are its first eight bytes, and its size with its last eight
-        padded = np.concatenate((np.zeros(8, np.uint8), words.bytes, np.zeros(8, np.uint8)))
-        eight = np.ndarray((len(padded) - 7,), U64, buffer=padded.data, strides=(1,))
-        start, size = words.start[inside], (words.end - words.start)[inside]
-        shift = (U64(8) * (U64(8) - np.minimum(size, 8).astype(U64))) % U64(64)
-        found.append((self.word_names[inside], eight[start + 8] << shift, (eight[start + size] >> shift) + size.astype(U64) * U64(0x9E3779B97F4A7C15)))
-        name, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((right, left, name))
-        name, left, right = name[order], left[order], right[order]
-        new = np.append(True, (name[1:] != name[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])) if len(name) else np.zeros(0, bool)
-        return name[new], left[new], right[new]
-
 
 def _row_ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("__id").to_numpy(zero_copy_only=False), batch.column("__row").to_numpy(zero_copy_only=False)
@@ -177,7 +158,7 @@ def _anchors(window: int, salt: int):
 
 
 def _windows(window: int, salt: int):
-    """The windows whose anchors are in the list ``anchors`` of the row, and rows of the rules (at < 0) behind them."""
+    """The windows whose anchors are in the list ``anchors`` of the row: by their symbols (name) and by their words (check)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,10 +174,9 @@ def _windows(window: int, salt: int):
                     continue
                 ids, rows = _row_ids(part)
                 of, at = found.docs[hit], found.starts[hit]
-                fields = ["anchor", "name", "__id", "__row", "at"]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(found.anchor[hit])), pa.array(signed(found.names(hit))), pa.array(ids[of]), pa.array(rows[of]), pa.array((at - words.doc_at[of]).astype(np.int32))], fields)
-                name, left, right = map(signed, found.rules(words, hit))
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(name), pa.array(left), pa.array(right), pa.array(np.full(len(name), -1, np.int32))], fields)
+                # the anchor is part of the name, so rows need not carry it
+                name, check = mix(found.names(hit) + mix(found.anchor[hit], 38), 39), found.words.of(at, window)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(signed(check)), pa.array(ids[of]), pa.array(rows[of]), pa.array((at - words.doc_at[of]).astype(np.int32))], ["name", "check", "__id", "__row", "at"])
 
     return run
 
@@ -252,20 +232,22 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
         revealed = split_join(found, shared, ["anchor"], "n", found.count())
         wanted = revealed.join(copies, ["__id", "__row"], "left_anti").groupBy("__id", "__row").agg(F.collect_list("anchor").alias("anchors"))
         again = known.join(wanted, ["__id", "__row"]).select("__id", "__row", "text", "anchors")
-        both = store.put(again.mapInArrow(_windows(window, salt), "anchor long, name long, __id long, __row long, at int"), "windows")
+        windows = store.put(again.mapInArrow(_windows(window, salt), "name long, check long, __id long, __row long, at int"), "windows")
         store.drop("anchors")
-        parts = F.struct("__id", "__row")
-        if both.where("at < 0").groupBy("name").agg(F.min(parts).alias("a"), F.max(parts).alias("b")).where("a <> b").isEmpty():
+        same = windows.groupBy("name").agg(F.min("__id").alias("a"), F.max("__id").alias("b"), F.count("*").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
+        shared = store.put(same.where("a < b"), "shared")
+        if shared.where("low <> high").isEmpty():
             break
     else:
         raise RuntimeError("no names are unambiguous")
-    windows = both.where("at >= 0")
-    first = windows.groupBy("anchor", "name").agg(F.min("__id").alias("a"), F.max("__id").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", "name", "n", "a")
-    later = split_join(windows, first, ["anchor", "name"], "n", windows.count()).where("__id > a")
+    # names and checks are 128 bits; joined on both
+    first = shared.select("name", F.col("low").alias("check"), "n", "a")
+    later = split_join(windows, first, ["name", "check"], "n", windows.count()).where("__id > a")
     starts = later.groupBy("__id", "__row").agg(F.collect_list("at").alias("starts"))
     gone = starts.withColumn("copy", F.lit(False)).unionByName(copies.select("__id", "__row", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
     gone = store.put(gone, "gone")
     store.drop("windows")
+    store.drop("shared")
     # a copy is no source and has no starts, so a document has one row here
     full = rows.join(gone, ["__id", "__row"], "left").select("__id", "text", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"), F.coalesce("copy", F.lit(False)).alias("copy"))
     schema = "__id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
