@@ -7,9 +7,8 @@ equal windows are made of equal symbols inside.
 
 * Reveal: the least name of ``CHAIN`` consecutive symbols inside a window is its anchor, so equal windows have equal
   anchors.  Documents that share anchors with others, and these only, are looked at again.
-* Verify: a window with a shared anchor is named by the symbols inside it and the words on either side of them.  Windows of
-  one name must also agree in a hash of their words that knows nothing of symbols; where any do not, all is done again
-  with other names.
+* Verify: a window with a shared anchor is named by the symbols inside it and the words on either side of them, and has a
+  check, a hash of its words that knows nothing of symbols.  Windows are equal if both agree, 128 bits in all.
 
 Defined cases: null and empty texts have no words; documents shorter than a window keep every word; rows with a null
 doc_id neither lose words nor cause others to; rows that are alike in doc_id are one document only if their texts are
@@ -40,13 +39,13 @@ NONE = U64(0xFFFFFFFFFFFFFFFF)
 
 
 #: Symbols that make up an anchor; where a window has fewer inside, all of them.
-CHAIN = 2
+CHAIN = 3
 
 
 class Symbols:
     """The symbols of the last round: where they begin, their names and sizes in words, and the rules behind them."""
 
-    def __init__(self, names: np.ndarray, docs: np.ndarray, salt: int = 0) -> None:
+    def __init__(self, names: np.ndarray, docs: np.ndarray) -> None:
         at, sym, size = np.arange(len(names)), names, np.ones(len(names), np.int64)
         self.rules: list[tuple[np.ndarray, ...]] = []  # (word, name, left part, right part or count)
         step = 0
@@ -64,19 +63,19 @@ class Symbols:
                 named = sym[keep]
                 new = group[head[short]]
                 left, times = named[new], count[short].astype(U64)
-                named[new] = mix(left + times, 11 + 1000 * salt)
+                named[new] = mix(left + times, 11)
                 at, sym, size = at[keep], named, total
                 self.rules.append((at[new], named[new], left, times))
             for _ in range(pairs):
                 step += 1
-                side = (mix(sym, 100 + step + 1000 * salt) & U64(1)).astype(bool)
+                side = (mix(sym, 100 + step) & U64(1)).astype(bool)
                 fit = size <= longest
                 joins = np.zeros(len(sym), bool)  # the second of a pair
                 joins[1:] = ~side[:-1] & side[1:] & fit[:-1] & fit[1:] & (docs[at[1:]] == docs[at[:-1]])
                 second = np.flatnonzero(joins)
                 sym, size = sym.copy(), size.copy()
                 left, right = sym[second - 1], sym[second]
-                sym[second - 1] = mix(left * U64(0x9E3779B97F4A7C15) + right, 23 + 1000 * salt)
+                sym[second - 1] = mix(left * U64(0x9E3779B97F4A7C15) + right, 23)
                 self.rules.append((at[second - 1], sym[second - 1], left, right))
                 size[second - 1] += size[second]
                 keep = ~joins
@@ -100,7 +99,7 @@ def _least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarra
 class Windows:
     """All windows of the documents: starts, documents, anchors, and names made of symbols and outer words."""
 
-    def __init__(self, words: Words, window: int, salt: int = 0) -> None:
+    def __init__(self, words: Words, window: int) -> None:
         if window < 2 * REACH + 2 * LONGEST:
             raise ValueError(f"windows of under {2 * REACH + 2 * LONGEST} words need not hold a whole symbol")
         names = words.names()
@@ -109,7 +108,7 @@ class Windows:
         self.anchor = np.zeros(0, U64)
         if not len(self.starts):
             return
-        self.symbols = s = Symbols(names, words.docs(), salt)
+        self.symbols = s = Symbols(names, words.docs())
         self.parts = Rolling(mix(s.names, 31))
         # whole symbols whose both ends are further inside than REACH
         self.first = np.searchsorted(s.at, self.starts + REACH)
@@ -136,11 +135,11 @@ def _row_ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("__id").to_numpy(zero_copy_only=False), batch.column("__row").to_numpy(zero_copy_only=False)
 
 
-def _anchors(window: int, salt: int):
+def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                found = Windows(Words(part.column("text")), window, salt)
+                found = Windows(Words(part.column("text")), window)
                 docs, anchor = found.docs, found.anchor
                 if not len(docs):
                     continue
@@ -157,14 +156,14 @@ def _anchors(window: int, salt: int):
     return run
 
 
-def _windows(window: int, salt: int):
+def _windows(window: int):
     """The windows whose anchors are in the list ``anchors`` of the row: by their symbols (name) and by their words (check)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
                 words = Words(part.column("text"))
-                found = Windows(words, window, salt)
+                found = Windows(words, window)
                 lists = part.column("anchors")
                 wanted = np.sort(mix(lists.flatten().to_numpy().view(U64) ^ mix(np.repeat(np.arange(len(part), dtype=U64), lists.value_lengths().to_numpy()))))
                 mine = mix(found.anchor ^ mix(found.docs.astype(U64)))
@@ -225,29 +224,20 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     first = same.groupBy("same").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where("first < last")
     copies = store.put(same.join(first, "same").where("__id > first").select("__id", "__row").distinct(), "copies")
 
-    for salt in range(8):
-        found = known.select("__id", "__row", "text").mapInArrow(_anchors(window, salt), "anchor long, __id long, __row long")
-        found = store.put(found, "anchors")
-        shared = found.groupBy("anchor").agg(F.min("__id").alias("a"), F.max("__id").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", "n")
-        revealed = split_join(found, shared, ["anchor"], "n", found.count())
-        wanted = revealed.join(copies, ["__id", "__row"], "left_anti").groupBy("__id", "__row").agg(F.collect_list("anchor").alias("anchors"))
-        again = known.join(wanted, ["__id", "__row"]).select("__id", "__row", "text", "anchors")
-        windows = store.put(again.mapInArrow(_windows(window, salt), "name long, check long, __id long, __row long, at int"), "windows")
-        store.drop("anchors")
-        same = windows.groupBy("name").agg(F.min("__id").alias("a"), F.max("__id").alias("b"), F.count("*").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
-        shared = store.put(same.where("a < b"), "shared")
-        if shared.where("low <> high").isEmpty():
-            break
-    else:
-        raise RuntimeError("no names are unambiguous")
-    # names and checks are 128 bits; joined on both
-    first = shared.select("name", F.col("low").alias("check"), "n", "a")
+    found = known.select("__id", "__row", "text").mapInArrow(_anchors(window), "anchor long, __id long, __row long")
+    found = store.put(found, "anchors")
+    shared = found.groupBy("anchor").agg(F.min("__id").alias("a"), F.max("__id").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", "n")
+    revealed = split_join(found, shared, ["anchor"], "n", found.count())
+    wanted = revealed.join(copies, ["__id", "__row"], "left_anti").groupBy("__id", "__row").agg(F.collect_list("anchor").alias("anchors"))
+    again = known.join(wanted, ["__id", "__row"]).select("__id", "__row", "text", "anchors")
+    windows = store.put(again.mapInArrow(_windows(window), "name long, check long, __id long, __row long, at int"), "windows")
+    store.drop("anchors")
+    first = windows.groupBy("name", "check").agg(F.min("__id").alias("a"), F.max("__id").alias("b"), F.count("*").alias("n")).where("a < b").select("name", "check", "n", "a")
     later = split_join(windows, first, ["name", "check"], "n", windows.count()).where("__id > a")
     starts = later.groupBy("__id", "__row").agg(F.collect_list("at").alias("starts"))
     gone = starts.withColumn("copy", F.lit(False)).unionByName(copies.select("__id", "__row", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
     gone = store.put(gone, "gone")
     store.drop("windows")
-    store.drop("shared")
     # a copy is no source and has no starts, so a document has one row here
     full = rows.join(gone, ["__id", "__row"], "left").select("__id", "text", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"), F.coalesce("copy", F.lit(False)).alias("copy"))
     schema = "__id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text

@@ -95,23 +95,11 @@ def test_symbols_spell_their_words():
     assert least.tolist() == [names[i : i + i % 23 + 1].min() for i in range(100)]
 
 
-def test_ambiguous_names_are_made_anew(spark, monkeypatch, corpus, documents):
-    seen, plain = [], substring_dedup._windows
-
-    def broken(window, salt):
-        seen.append(salt)
-        run = plain(window, salt)
-
-        def more(batches):
-            for b in run(batches):  # one name for all windows of the first round
-                yield b if salt else b.set_column(0, "name", pa.array(np.zeros(len(b), np.int64)))
-
-        return more
-
+def test_windows_of_one_name_must_agree_in_their_words(spark, monkeypatch, corpus, documents):
     want = {r.doc_id: r.kept_sha256 for r in substring_dedup.substring_dedup(documents).collect()}
-    monkeypatch.setattr(substring_dedup, "_windows", broken)
+    monkeypatch.setattr(substring_dedup.Windows, "names", lambda self, hit: np.zeros(len(hit), np.uint64))
+    monkeypatch.setattr(substring_dedup, "CHAIN", 1)
     assert {r.doc_id: r.kept_sha256 for r in substring_dedup.substring_dedup(documents).collect()} == want
-    assert seen == [0, 1]
 
 
 # 2 licences
