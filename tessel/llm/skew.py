@@ -19,10 +19,12 @@ def split_join(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, tota
     ``total`` is the number of rows.  A null key joins nothing.
     """
     least = max(HOT_ROWS, total // HOT_KEYS)
-    cold = rows.join(groups.where(F.col(n) < least).drop(n), keys)
+    cold = groups.where(F.col(n) < least).drop(n)
     if total < HOT_ROWS:  # no key can be hot
-        return cold
-    return cold.unionByName(rows.join(F.broadcast(groups.where(F.col(n) >= least).drop(n)), keys))
+        return rows.join(cold, keys)
+    hot = groups.where(F.col(n) >= least).drop(n)
+    # hot rows are taken out before the exchange
+    return rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys).unionByName(rows.join(F.broadcast(hot), keys))
 
 
 def with_groups(store: Stored, rows: DataFrame, keys: list[str], name: str, **values: Column) -> DataFrame:
