@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import Stored
-from .textscan import text_slices
+from .textscan import SLICE_BYTES, text_slices
 from .tokens import default_path, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -33,7 +33,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 def _pieces(path: str, end_id: int, most: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, max_bytes=8 << 20):
+            for part in text_slices(batch, max_bytes=2 * SLICE_BYTES):
                 ids, offsets = encoder(path).encode(part.column("text"))
                 ids = np.insert(ids, offsets[1:], end_id)
                 offsets = offsets + np.arange(len(offsets))

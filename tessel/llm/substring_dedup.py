@@ -138,7 +138,7 @@ def _row_ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, max_bytes=4 << 20):
                 found = Windows(Words(part.column("text")), window)
                 docs, anchor = found.docs, found.anchor
                 if not len(docs):
@@ -161,7 +161,7 @@ def _windows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, max_bytes=4 << 20):
                 words = Words(part.column("text"))
                 found = Windows(words, window)
                 lists = part.column("anchors")
@@ -183,7 +183,7 @@ def _windows(window: int):
 def _cut(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, max_bytes=4 << 20):
                 words = Words(part.column("text"))
                 raw = words.bytes.tobytes()
                 lists = part.column("starts")

@@ -49,7 +49,11 @@ _WORDS = _Powers(_WORD_BASE)
 _INVERSE = _Powers(pow(_WORD_BASE, -1, 1 << 64))
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+#: Bytes of text that are worked on at once; numpy holds some forty times as much, in each worker.
+SLICE_BYTES = 1 << 20
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most ``max_bytes`` of text, or of one document where it alone is longer."""
     sizes = np.diff(_binary(batch.column(column))[1])
     at, n = 0, len(sizes)
@@ -209,7 +213,7 @@ def list_column(values: pa.Array, offsets: np.ndarray) -> pa.Array:
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def annotate(df: DataFrame, make, fields: str, text_col: str = "text", most_bytes: int = 4 << 20) -> DataFrame:
+def annotate(df: DataFrame, make, fields: str, text_col: str = "text", most_bytes: int = SLICE_BYTES) -> DataFrame:
     """``doc``, a struct of all columns of ``df``, with more columns; ``make`` gets texts of bounded size and returns arrays.
 
     As all columns go through as one struct, ``fields`` (DDL) cannot clash with them.  Nothing is shuffled.

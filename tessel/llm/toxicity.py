@@ -191,7 +191,7 @@ def _frequencies(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(vocabulary.value), np.int64)
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, max_bytes=4 << 20):
                 total += np.bincount(Vectors(vocabulary.value, *term_counts(part.column("text")), len(part)).term, minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
@@ -209,7 +209,7 @@ def build(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
         at = pa.array(np.searchsorted(rows, np.arange(len(texts) + 1)), pa.int32())
         return [pa.ListArray.from_arrays(at, pa.array(signed(names))), pa.ListArray.from_arrays(at, pa.array(counts))]
 
-    got = first_rows(annotate(chosen, make, "terms array<long>, counts array<long>").select("doc.__label_id", "doc.__label", "doc.h", "terms", "counts"), sample_rows)
+    got = first_rows(annotate(chosen, make, "terms array<long>, counts array<long>", most_bytes=4 << 20).select("doc.__label_id", "doc.__label", "doc.h", "terms", "counts"), sample_rows)
     if not got:
         return None
     sizes = [len(r.terms) for r in got]
@@ -236,5 +236,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int =
         scores, evidence = sent.value.score(texts)
         return [pa.array(scores), pa.array(evidence, pa.list_(pa.int64()))]
 
-    found = annotate(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make, "score double, evidence array<long>").select("doc.id", "score", "evidence")
+    found = annotate(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make, "score double, evidence array<long>", most_bytes=4 << 20).select("doc.id", "score", "evidence")
     return found.select(F.col("id").alias(id_col), F.coalesce(fold("id", folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")

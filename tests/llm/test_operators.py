@@ -712,3 +712,12 @@ def test_pipeline_stages(spark, tmp_path, documents, corpus):
     assert {r.doc_id for r in pieces} == ids
     assert json.dumps([r.length for r in pieces])
     assert docs.where(F.col("text").isNull()).count() <= 1
+
+
+def test_texts_are_worked_on_in_small_slices():
+    from tessel.llm import textscan
+
+    texts = ["word " * 20_000] * 30 + ["long " * 500_000, None, ""]
+    parts = list(textscan.text_slices(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert all(sum(len(t or "") for t in p.column("text").to_pylist()) <= 1 << 20 or len(p) == 1 for p in parts)
