@@ -9,8 +9,9 @@ temperature, fitted on variations that training did not see, calibrates the prob
 reaches ``least`` and the paragraph has ``confirm`` of the word pairs of one of the family's templates; else it is
 "unknown".
 
-The scan is SQL expressions on one row: no shuffle and no Python.  Only paragraphs with a cue word are scored; every
-template has one.  A window counts only if it is confirmed, no confirmed line in it has as much of a template, and no
+The scan is SQL expressions on one row: no shuffle and no Python.  Only paragraphs with a cue are scored.
+Cues touch so many word pairs of each template that a paragraph without any cannot be confirmed, whatever words it has
+lost (``needed``), so no confirmed one is left out.  A window counts only if it is confirmed, no confirmed line in it has as much of a template, and no
 confirmed window that overlaps it has more, or as much and begins later; its lines are then not judged alone.  Its number
 is that of its first line.
 
@@ -53,7 +54,7 @@ OTHERS = (
     "Copyright law protects authors.", "The creative commons of the village were sold.", "This work is about the public and its problems.",
     "The terms of the contract follow.", "Source and binary stars differ in mass.", "Under the bridge there is a boat.", "",
 )
-CUES = (
+NAMES = (
     "licen", "copyright", "permission", "redistribut", "reserved", "cc0", "apache", "gpl", "gnu", "mozilla", "mpl-", "mpl 2", "mpl v", "commons", "cc by", "cc-by", "bsd", "under mit", "the mit",
 )
 REACH = (15, 30, 75)
@@ -66,6 +67,28 @@ def pieces(text: str) -> list[str]:
     return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
 
 
+@cache
+def needed(confirm: float) -> tuple[str, ...]:
+    """Words, beside the one-word names, so that a paragraph with none of them has less than ``confirm`` of any template's pairs."""
+    if confirm <= 0:
+        return ("",)
+    out: list[str] = []
+    for t in (t for ts in TEMPLATES.values() for t in ts):
+        every = {p for p in pieces(t) if " " in p}
+        while True:
+            left = [p.split() for p in sorted(every) if not any(c in w for c in (*out, *filter(str.isalnum, NAMES)) for w in p.split())]
+            if len(left) < confirm * len(every):
+                break
+            gain = {w: sum(w in p for p in left) for p in left for w in p}
+            # short words stand in most texts, so that a long one or a version that touches fewer pairs is better
+            out.append(min(gain, key=lambda w: (len(w) < 6 and "." not in w, -gain[w] * len(w), w)))
+    return tuple(out)
+
+
+#: What a paragraph must have to be scored, at the usual share of pairs that confirms.
+CUES = NAMES + needed(0.6)
+
+
 def normal(text: Column) -> Column:
     """The words of a paragraph with one space around each."""
     return F.concat(F.lit(" "), F.concat_ws(" ", F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:\.[0-9]+)*"), F.lit(0))), F.lit(" "))
@@ -159,7 +182,7 @@ def scan(docs: DataFrame, least: float = 0.5, confirm: float = 0.6, text_col: st
     )
     judged = f"transform(array({one}), j -> struct(j.i as paragraph, j.k as k, {name.replace('best', 'j.best')} as guess, j.probability as probability, {overlap.replace('best', 'j.best').replace('contains(s,', 'contains(j.s,')} as overlap))[0]"
     final = f"transform(array({judged}), g -> struct(g.paragraph as paragraph, g.k as k, if(g.probability >= {least}D and g.overlap >= {confirm}D, g.guess, {_text(UNKNOWN)}) as family, g.probability as probability, g.overlap as overlap))[0]"
-    cues = " or ".join(f"contains(lower(l), {_text(c)})" for c in CUES)
+    cues = " or ".join(f"contains(lower(l), {_text(c)})" for c in dict.fromkeys(CUES + needed(confirm)))
     hit = F.expr(cues.replace("lower(l)", f"lower(`{text_col}`)"))
     lines = F.transform(F.split(text_col, "\n"), lambda l, i: F.struct(i.alias("i"), l.alias("l"), normal(l).alias("s")))
     found = docs.withColumn("__lines", F.when(hit, lines))

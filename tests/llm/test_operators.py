@@ -721,3 +721,19 @@ def test_texts_are_worked_on_in_small_slices():
     parts = list(textscan.text_slices(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])))
     assert [t for p in parts for t in p.column("text").to_pylist()] == texts
     assert all(sum(len(t or "") for t in p.column("text").to_pylist()) <= 1 << 20 or len(p) == 1 for p in parts)
+
+
+def test_notices_without_a_cue(spark):
+    bare = [
+        ("is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.", "mit"),
+        ("and use in source and binary forms, with or without modification,\nare permitted provided that the following conditions are met:", "bsd"),
+    ]
+    names = ("licen", "copyright", "permission", "redistribut", "reserved", "apache", "gpl", "gnu", "mozilla", "commons", "bsd")
+    assert not any(c in t.lower() for t, _ in bare for c in names)
+    got = {r.doc_id: r for r in licences.licences(spark.createDataFrame([(i, f"A title\n\n{t}\n\nimport software") for i, (t, _) in enumerate(bare)], "doc_id long, text string")).collect()}
+    assert [got[i].families for i in (0, 1)] == [["mit"], ["bsd"]]
+    for ts in licences.TEMPLATES.values():  # what has none of the words that are looked for cannot be confirmed
+        for t in ts:
+            pairs = {p for p in licences.pieces(t) if " " in p}
+            left = [p for p in pairs if not any(c in w for w in p.split() for c in licences.CUES)]
+            assert len(left) < 0.6 * len(pairs)
