@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import collections
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -149,8 +152,165 @@ def refine_large(clusters: DataFrame, edges: DataFrame, most: int, weight: str =
         least = pd.Series(names).groupby(label).transform("min") if label.max() else pd.Series([rows["cluster"].iloc[0]] * len(names))
         return pd.DataFrame({"region": names, "__part": least, "__whole": rows["cluster"].iloc[0]})
 
-    parts = Stored(clusters.sparkSession, "communities").put(heavy.groupBy("cluster").applyInPandas(divide, f"region {kind}, __part {kind}, __whole {clusters.schema['cluster'].dataType.simpleString()}"), "parts")
-    # regions that no kept edge names are communities of their own where the cluster was divided
+    return _divided(clusters, heavy.groupBy("cluster").applyInPandas(divide, f"region {kind}, __part {kind}, __whole {clusters.schema['cluster'].dataType.simpleString()}"))
+
+
+class _Shared:
+    """Weights between nodes that are alike by class: how many k-mers two classes share.  Rows are made when asked for."""
+
+    def __init__(self, sets: list[list], most_kept: int = 5_000_000) -> None:
+        self.sets, self.most, self.kept, self.rows = sets, most_kept, 0, {}
+        self.having: dict = {}
+        for i, s in enumerate(sets):
+            for x in s:
+                self.having.setdefault(x, []).append(i)
+
+    def row(self, i: int) -> dict[int, int]:
+        """Weight to a node of each class that shares a k-mer; for the own class, to another node of it."""
+        if i not in self.rows:
+            found: dict[int, int] = {}
+            for x in self.sets[i]:
+                for j in self.having[x]:
+                    found[j] = found.get(j, 0) + 1
+            if self.kept + len(found) > self.most:
+                return found
+            self.rows[i], self.kept = found, self.kept + len(found)
+        return self.rows[i]
+
+
+def louvain_shared(of: np.ndarray, sets: list[list], resolution: float = 1.0, seed: int = 42) -> np.ndarray:
+    """``louvain`` of the nodes whose classes are ``of``, where an edge's weight is how many members two nodes' sets share.
+
+    The edges are never made.  Communities made up alike have the same gain, so one of each kind, the least, is weighed;
+    what is decided is what ``louvain`` decides on all edges.
+    """
+    shared, rng = _Shared(sets), np.random.default_rng(seed)
+    many = np.bincount(of, minlength=len(sets))
+    each = [float(sum(x * int(many[j]) for j, x in shared.row(i).items()) - len(s)) for i, s in enumerate(sets)]
+    label, total = np.arange(len(of)), float(sum(d * int(n) for d, n in zip(each, many, strict=True)))
+    parts: list[tuple] = [((i, 1),) for i in of.tolist()]  # what each node is made of: classes and how many of each
+    while total > 0:
+        links: dict[tuple, dict[int, int]] = {}
+        weigh = {p: sum(each[i] * n for i, n in p) for p in dict.fromkeys(parts)}
+        mine, moved = list(range(len(parts))), False
+        kind: list[tuple] = list(parts)  # of each community; () for an empty one
+        ids: dict[tuple, list[int]] = {}  # heaps of communities by kind; some have changed since
+        live: dict[tuple, int] = {}
+        on: dict[int, set[tuple]] = {}
+        weight: dict[tuple, float] = {(): 0.0}
+
+        def turn(c: int, new: tuple) -> None:
+            old = kind[c]
+            if old:
+                live[old] -= 1
+                if not live[old]:
+                    for i, _ in old:
+                        on[i].discard(old)
+            kind[c] = new
+            if new:
+                if not live.get(new):
+                    for i, _ in new:
+                        on.setdefault(i, set()).add(new)
+                    weight[new] = sum(each[i] * n for i, n in new)
+                live[new] = live.get(new, 0) + 1
+                heapq.heappush(ids.setdefault(new, []), c)
+
+        first, kind = kind, [()] * len(kind)
+        for c, k in enumerate(first):
+            turn(c, k)
+        change, state, stays = True, 0, {}
+        while change:
+            change = False
+            for i in rng.permutation(len(parts)).tolist():
+                here, part = mine[i], parts[i]
+                if stays.get((part, kind[here])) == state and kind[here] == part:
+                    continue  # one alike, alone as well, stayed and nothing has moved since
+                if part not in links:
+                    row: dict[int, int] = {}
+                    for j, n in part:
+                        for k, x in shared.row(j).items():
+                            row[k] = row.get(k, 0) + x * n
+                    links[part] = row
+                row, was = links[part], kind[here]
+                left = dict(was)
+                for j, n in part:
+                    left[j] -= n
+                rest = tuple((j, n) for j, n in left.items() if n)
+                near: dict[tuple, float] = {}
+                for k, x in row.items():
+                    for s in on.get(k, ()):
+                        near[s] = near.get(s, 0.0) + x * next(n for j, n in s if j == k)
+                options = []
+                for s, x in near.items():
+                    heap = ids[s]
+                    while kind[heap[0]] != s:
+                        heapq.heappop(heap)
+                    at = heap[0]
+                    if at == here:  # the next of the same kind
+                        heapq.heappop(heap)
+                        while heap and kind[heap[0]] != s:
+                            heapq.heappop(heap)
+                        at = heap[0] if heap else -1
+                        heapq.heappush(heap, here)
+                        if at == here:
+                            at = -1
+                    if at >= 0:
+                        options.append((at, x - resolution * weigh[part] * weight[s] / total))
+                inside = sum(row.get(j, 0) * n for j, n in rest)
+                best, gain = here, inside - resolution * weigh[part] * sum(each[j] * n for j, n in rest) / total
+                for c, g in sorted(options):
+                    if g > gain + 1e-12:
+                        best, gain = c, g
+                if best == here:
+                    stays[part, was] = state
+                    continue
+                turn(here, rest)
+                more = dict(kind[best])
+                for j, n in part:
+                    more[j] = more.get(j, 0) + n
+                turn(best, tuple(sorted(more.items())))
+                mine[i], change, moved, state = best, True, True, state + 1
+        if not moved:
+            return label
+        place = np.unique(mine, return_inverse=True)[1]
+        label = place[label]
+        parts = [kind[c] for c in np.unique(mine).tolist()]
+    return label
+
+
+def refine_shared(clusters: DataFrame, sets: DataFrame, most: int, seed: int = 42, resolution: float | None = None) -> DataFrame:
+    """``refine_large`` by how many k-mers two regions share; ``sets`` (region, kmer), distinct, are given in place of edges.
+
+    All pairs of regions count: regions with the same k-mers are one class, and a task holds a cluster's classes and regions.
+    """
+    kind = clusters.schema["region"].dataType.simpleString()
+    large = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > most), "cluster")
+    lists = sets.join(large, "region").groupBy("cluster", "size", "region").agg(F.array_sort(F.collect_list("kmer")).alias("ks"))
+    alike = lists.groupBy("cluster", "size", "ks").agg(F.collect_list("region").alias("regions"))
+
+    def divide(rows: pd.DataFrame) -> pd.DataFrame:
+        seen = collections.Counter()
+        for ks, r in zip(rows["ks"], rows["regions"], strict=True):
+            seen.update(dict.fromkeys(ks, len(r)))
+        rows = rows[[any(seen[k] > 1 for k in ks) for ks in rows["ks"]]]  # regions that share a k-mer with another
+        if not len(rows):
+            return pd.DataFrame({"region": [], "__part": [], "__whole": []})
+        names = np.concatenate([np.asarray(r) for r in rows["regions"]])
+        order = np.argsort(names, kind="stable")
+        names, of = names[order], np.repeat(np.arange(len(rows)), [len(r) for r in rows["regions"]])[order]
+        sets_, scale = [list(k) for k in rows["ks"]], resolution or max(1.0, rows["size"].iloc[0] / most)
+        label = louvain_shared(of, sets_, scale, seed)
+        if label.max() == 0:
+            label = louvain_shared(of, sets_, 2 * scale, seed)
+        least = pd.Series(names).groupby(label).transform("min") if label.max() else pd.Series([rows["cluster"].iloc[0]] * len(names))
+        return pd.DataFrame({"region": names, "__part": least, "__whole": rows["cluster"].iloc[0]})
+
+    return _divided(clusters, alike.groupBy("cluster").applyInPandas(divide, f"region {kind}, __part {kind}, __whole {clusters.schema['cluster'].dataType.simpleString()}"))
+
+
+def _divided(clusters: DataFrame, parts: DataFrame) -> DataFrame:
+    """``clusters`` with the parts found; regions that no part names are communities of their own where the cluster was divided."""
+    parts = Stored(clusters.sparkSession, "communities").put(parts, "parts")
     divided = parts.where("__part <> __whole").select(F.col("__whole").alias("cluster")).distinct().withColumn("__divided", F.lit(True))
     out = clusters.join(parts.drop("__whole"), "region", "left").join(divided, "cluster", "left")
     return out.select("region", F.coalesce("__part", F.when(F.col("__divided"), F.col("region")), "cluster").alias("cluster"))

@@ -138,8 +138,7 @@ def _(t):
 def _(t):
     s = sequences(t).select(F.col("p_partkey").alias("region"), "seq")
     found = G.contingency_clusters(s, "region", "seq", 8)
-    shared = G.kmer_sets(s, "region", "seq", 8).select(F.col("kmer").alias("region"), F.col("region").alias("kmer"))
-    return C.refine_large(found, G.cooccurrence(shared, 1).withColumnsRenamed({"a": "u", "b": "v"}), 10)
+    return C.refine_shared(found, G.kmer_sets(s, "region", "seq", 8), 10)
 
 
 @R.add("s18_graph_files", "select l_suppkey as u, l_partkey as v, count(*) as n, 8 as k, (select count(*) from supplier) as n_nodes from lineitem group by 1, 2")

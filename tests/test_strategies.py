@@ -362,3 +362,27 @@ def test_projection_keeps_distances(spark):
     near = lambda m: ((m[:, None] - m[None]) ** 2).sum(-1)[np.triu_indices(12, 1)]
     rough = near(b) > 0
     assert np.all(np.abs(near(a)[rough] / near(b)[rough] - 1) < 0.25)
+
+
+def test_louvain_of_shared_members_equals_that_of_all_edges():
+    merged = 0
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        base = [sorted(set((rng.integers(0, 6, 5) + 6 * (i % 3)).tolist()) | ({99} if i % 4 == 0 else set())) for i in range(9)]
+        of = rng.permutation(np.append(np.arange(9), rng.integers(0, 9, 50)))
+        pairs = [(i, j, float(len(set(base[of[i]]) & set(base[of[j]])))) for i in range(len(of)) for j in range(i + 1, len(of))]
+        u, v, w = map(np.array, zip(*[p for p in pairs if p[2]], strict=True))
+        for resolution in (1.0, 2.5, 6.0):
+            want = refine.louvain(len(of), u, v, w, resolution, seed)
+            got = refine.louvain_shared(of, base, resolution, seed)
+            assert got.tolist() == want.tolist(), (seed, resolution)
+            merged += 1 < len(set(want.tolist())) < len(of)
+    assert merged > 10
+
+
+def test_many_regions_alike_are_refined(spark):
+    """20 000 regions of few kinds: 2 * 10**8 pairs, of which none has to be made."""
+    sets = spark.range(20_000).selectExpr("id as region", "explode(array(concat('a', id % 5), concat('b', id % 7), 'all')) as kmer")
+    clusters = spark.range(20_000).selectExpr("id as region", "0L as cluster")
+    got = {r.region: r.cluster for r in refine.refine_shared(clusters, sets, 10).collect()}
+    assert len(got) == 20_000 and len(set(got.values())) == 20_000
