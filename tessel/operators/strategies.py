@@ -14,8 +14,8 @@ from . import splits as L
 from .clusters import cluster, subdivide
 from .components import connected_components
 from .features import composition_features, dense_kmers, standardised
-from .graphs import contingency_clusters, cooccurrence, kmer_sets, majority_clusters
-from .refine import refine_large
+from .graphs import contingency_clusters, kmer_sets, majority_clusters
+from .refine import refine_shared
 
 #: Shares of strategies that have their own.
 OWN_RATIOS = {"mmseqs": L.Ratios(train=60, test=20, val=20)}
@@ -124,8 +124,7 @@ def _(q: Request) -> DataFrame:
     make = majority_clusters if q.options.get("method", "hash_majority") == "hash_majority" else contingency_clusters
     found = make(seqs, q.key, "seq", k)
     if q.options.get("most"):
-        shared = kmer_sets(seqs, q.key, "seq", k).select(F.col("kmer").alias("region"), F.col("region").alias("kmer"))
-        found = refine_large(found, cooccurrence(shared, 1).withColumnsRenamed({"a": "u", "b": "v"}), q.options["most"], "n", q.seed)
+        found = refine_shared(found, kmer_sets(seqs, q.key, "seq", k), q.options["most"], q.seed)
     return by_size(q, found.select(F.col("region").alias(q.key), F.col("cluster").cast("string").alias("fold")))
 
 
