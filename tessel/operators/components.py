@@ -10,21 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import Stored
+from ..storage import Stored, exchanged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's greater neighbours are joined to its least neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(exchanged(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its lesser neighbours are joined to the least of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(least, "u")
+    joined = down.join(exchanged(least), "u")
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -50,4 +50,4 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", most_roun
         raise RuntimeError(f"components are not stable after {most_rounds} rounds")
     roots = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     nodes = given.select(F.col("u").alias("node")).unionByName(given.select(F.col("v").alias("node"))).distinct()
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return nodes.join(exchanged(roots), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

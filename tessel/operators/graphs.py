@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import kmers
+from ..storage import exchanged
 from .components import connected_components
 
 
@@ -61,9 +62,9 @@ def contingency_clusters(rows: DataFrame, key: str, seq: str, k: int) -> DataFra
     """(region, cluster): regions that share a k-mer are one cluster, named by its least region."""
     sets = kmer_sets(rows, key, seq, k)
     owner = sets.groupBy("kmer").agg(F.min("region").alias("owner"), F.max("region").alias("last")).where("owner < last")
-    edges = sets.join(owner, "kmer").where("region <> owner").select(F.col("owner").alias("u"), F.col("region").alias("v")).distinct()
+    edges = sets.join(exchanged(owner), "kmer").where("region <> owner").select(F.col("owner").alias("u"), F.col("region").alias("v")).distinct()
     found = connected_components(edges)
-    return rows.select(F.col(key).alias("region")).join(found, F.col("region") == F.col("node"), "left").select("region", F.coalesce("component", "region").alias("cluster"))
+    return rows.select(F.col(key).alias("region")).join(exchanged(found), F.col("region") == F.col("node"), "left").select("region", F.coalesce("component", "region").alias("cluster"))
 
 
 def majority_vote(rows: DataFrame, key: str, vote: str) -> DataFrame:
@@ -79,12 +80,12 @@ def majority_clusters(rows: DataFrame, key: str, seq: str, k: int, min_df: int =
     Regions without such a k-mer are clusters of their own.  Clusters are numbered by their least region.
     """
     sets = kmer_sets(rows, key, seq, k)
-    kept = sets.join(document_frequency(sets, min_df).select("kmer"), "kmer")
+    kept = sets.join(exchanged(document_frequency(sets, min_df).select("kmer")), "kmer")
     parts = connected_components(cooccurrence(kept, min_pairs), "a", "b")
-    votes = kept.join(parts, F.col("kmer") == F.col("node"), "left").select("region", F.coalesce("component", "kmer").alias("component"))
+    votes = kept.join(exchanged(parts), F.col("kmer") == F.col("node"), "left").select("region", F.coalesce("component", "kmer").alias("component"))
     won = majority_vote(votes, "region", "component").select("region", F.col("vote").alias("__vote"))
     named = won.join(won.groupBy("__vote").agg(F.min("region").alias("__least")), "__vote").select("region", "__least")
-    return rows.select(F.col(key).alias("region")).join(named, "region", "left").select("region", F.coalesce("__least", "region").alias("cluster"))
+    return rows.select(F.col(key).alias("region")).join(exchanged(named), "region", "left").select("region", F.coalesce("__least", "region").alias("cluster"))
 
 
 def homology_labels(regions: DataFrame, key: str, edges: DataFrame, relation: str = "relation", u: str = "gene1", v: str = "gene2") -> DataFrame:

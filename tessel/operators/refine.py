@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import Stored
+from ..storage import Stored, exchanged
 from .components import connected_components
 from .graphs import both_ends
 
@@ -284,8 +284,9 @@ def refine_shared(clusters: DataFrame, sets: DataFrame, most: int, seed: int = 4
     All pairs of regions count: regions with the same k-mers are one class, and a task holds a cluster's classes and regions.
     """
     kind = clusters.schema["region"].dataType.simpleString()
-    large = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > most), "cluster")
-    lists = sets.join(large, "region").groupBy("cluster", "size", "region").agg(F.array_sort(F.collect_list("kmer")).alias("ks"))
+    clusters = Stored(clusters.sparkSession, "clusters").put(clusters, "given")  # read three times
+    large = clusters.join(exchanged(clusters.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > most)), "cluster")
+    lists = sets.join(exchanged(large), "region").groupBy("cluster", "size", "region").agg(F.array_sort(F.collect_list("kmer")).alias("ks"))
     alike = lists.groupBy("cluster", "size", "ks").agg(F.collect_list("region").alias("regions"))
 
     def divide(rows: pd.DataFrame) -> pd.DataFrame:
@@ -312,5 +313,5 @@ def _divided(clusters: DataFrame, parts: DataFrame) -> DataFrame:
     """``clusters`` with the parts found; regions that no part names are communities of their own where the cluster was divided."""
     parts = Stored(clusters.sparkSession, "communities").put(parts, "parts")
     divided = parts.where("__part <> __whole").select(F.col("__whole").alias("cluster")).distinct().withColumn("__divided", F.lit(True))
-    out = clusters.join(parts.drop("__whole"), "region", "left").join(divided, "cluster", "left")
+    out = clusters.join(exchanged(parts.drop("__whole")), "region", "left").join(exchanged(divided), "cluster", "left")
     return out.select("region", F.coalesce("__part", F.when(F.col("__divided"), F.col("region")), "cluster").alias("cluster"))

@@ -20,6 +20,15 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def exchanged(df: DataFrame) -> DataFrame:
+    """``df`` for a join that exchanges both sides.
+
+    Spark broadcasts what it thinks small by the size of files, which are compressed and may hold a few bytes a row, and the
+    driver then holds all of it unpacked.  Tables with a row per row of the input are joined so.
+    """
+    return df.hint("merge")
+
+
 class Stored:
     """Tables written for one run of one operator; the JVM removes their folder when it ends."""
 

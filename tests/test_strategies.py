@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tessel import catalog
 from tessel.operators import placement, refine, splits, strategies
+from tessel.operators.components import connected_components
+from tessel.operators.graphs import contingency_clusters, kmer_sets
 from tessel.sources import graph
 
 DATA = "/root/testdata/sf0.001"
@@ -386,3 +388,15 @@ def test_many_regions_alike_are_refined(spark):
     clusters = spark.range(20_000).selectExpr("id as region", "0L as cluster")
     got = {r.region: r.cluster for r in refine.refine_shared(clusters, sets, 10).collect()}
     assert len(got) == 20_000 and len(set(got.values())) == 20_000
+
+
+def test_tables_of_regions_are_not_broadcast(spark, tmp_path):
+    """Files of regions pack to a few bytes a row; what Spark thinks small by them would fill the driver."""
+    spark.range(3000).selectExpr("id as region", "concat(repeat('ACGT', 4), id % 7) as seq").write.parquet(str(tmp_path / "seqs"))
+    seqs = spark.read.parquet(str(tmp_path / "seqs"))
+    found = contingency_clusters(seqs, "region", "seq", 8)
+    sets = kmer_sets(seqs, "region", "seq", 8)
+    for df in (found, refine.refine_shared(found, sets, 10), connected_components(seqs.selectExpr("region as u", "region % 7 as v"))):
+        assert df.count() == 3000
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
