@@ -6,15 +6,22 @@ is never positional.  Rows of the held-out fold are taken out by the callers bef
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import chromosome_token, fold_label, order_key
+from ..storage import Stored, exchanged
+from .profiles import sequential_ids
 
 ROLES = ("train", "val", "test")
+#: The order in which ``greedy_roles`` prefers roles.
+_GREEDY = ("test", "train", "val")
 
 
 @dataclass(frozen=True)
@@ -110,30 +117,55 @@ def two_level_split(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return second.withColumn("class", F.when(F.col("m1") == "train", 0).when(F.col("m1") == "val", 1).otherwise(2))
 
 
-def greedy_roles(folds: DataFrame, fold: str, size: str, ratios: Ratios | None = None, most_folds: int = 1_000_000) -> DataFrame:
+def _dealt(sizes: Iterable[int], ratios: Ratios) -> Iterator[int]:
+    """For each size in turn the place in ``_GREEDY`` of the role that it goes to."""
+    have, total = [0, 0, 0], 0
+    a, b, c = (ratios.share(o) for o in _GREEDY)
+    for n in sizes:
+        total += n
+        t, (x, y, z) = max(total, 1), have
+        x0, y0, z0 = abs(x / t - a), abs(y / t - b), abs(z / t - c)
+        cost = (sum((abs((x + n) / t - a), y0, z0)), sum((x0, abs((y + n) / t - b), z0)), sum((x0, y0, abs((z + n) / t - c))))
+        most = min(cost) + 1e-12
+        pick = 0 if cost[0] <= most else 1 if cost[1] <= most else 2
+        have[pick] += n
+        yield pick
+
+
+def greedy_roles(folds: DataFrame, fold: str, size: str, ratios: Ratios | None = None, most_folds: int = 10_000) -> DataFrame:
     """(fold, size, train_test): largest fold first, each to the role after which the shares of what has been dealt out are
     nearest to the wanted ones (sum of absolute differences); of equal ones the least name, test before train before val.
 
-    Fewer than three folds are train and val in the order of their names.  The rule is sequential, so the folds, one small
-    row each and at most ``most_folds``, are dealt out on the driver; members are not.
+    Fewer than three folds are train and val in the order of their names.  The rule is sequential but asks for sizes only:
+    up to ``most_folds`` folds are dealt out on the driver.  Of more, one task goes through the distinct sizes and how many
+    folds have each, and folds get the roles by their place in the order.
     """
     r = ratios or Ratios()
-    rows = folds.select(F.col(fold), F.col(size).cast("long")).orderBy(F.desc(size), fold).limit(most_folds + 1).collect()
-    if len(rows) > most_folds:
-        raise ValueError(f"more than {most_folds} folds")
-    order, want = ("test", "train", "val"), {o: r.share(o) for o in ROLES}
-    have, out = dict.fromkeys(order, 0), []
-    if len(rows) < 3:
-        out = [(f, n, o) for (f, n), o in zip(sorted((r[0], r[1]) for r in rows), ("train", "val"), strict=False)]
-    else:
-        for f, n in rows:
-            total = sum(have.values()) + n
-            cost = {o: sum(abs((have[p] + n * (p == o)) / max(total, 1) - want[p]) for p in order) for o in order}
-            pick = next(o for o in order if cost[o] <= min(cost.values()) + 1e-12)
-            have[pick] += n
-            out.append((f, n, pick))
-    kind = folds.schema[fold].dataType.simpleString()
-    return folds.sparkSession.createDataFrame(out, f"`{fold}` {kind}, `{size}` long, train_test string")
+    given = folds.select(F.col(fold), F.col(size).cast("long").alias(size))
+    rows = given.limit(most_folds + 1).collect()
+    if len(rows) <= most_folds:
+        if len(rows) < 3:
+            out = [(f, n, o) for (f, n), o in zip(sorted((r[0], r[1]) for r in rows), ("train", "val"), strict=False)]
+        else:
+            rows = given.orderBy(F.desc(size), fold).collect()
+            out = [(f, n, _GREEDY[k]) for (f, n), k in zip(rows, _dealt((n for _, n in rows), r), strict=True)]
+        kind = folds.schema[fold].dataType.simpleString()
+        return folds.sparkSession.createDataFrame(out, f"`{fold}` {kind}, `{size}` long, train_test string")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = itertools.chain.from_iterable(itertools.repeat(n, k) for b in batches for n, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        picks, at = _dealt(sizes, r), 1
+        while len(part := np.fromiter(itertools.islice(picks, 50_000), np.int8)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part)], ["__at", "__role"])
+            at += len(part)
+
+    store = Stored(folds.sparkSession, "greedy")
+    given = store.put(given, "folds")
+    # a row per distinct size, of which there are at most the root of twice as many as members
+    counts = given.groupBy(F.col(size).alias("s")).agg(F.count("*").alias("k")).repartition(1).sortWithinPartitions(F.desc("s"))
+    roles = store.put(counts.mapInArrow(deal, "__at long, __role byte"), "roles")
+    placed = sequential_ids(given.withColumn("__down", -F.col(size)), ["__down", fold], "__at").join(exchanged(roles), "__at")
+    return placed.select(fold, size, F.element_at(F.array(*map(F.lit, _GREEDY)), (F.col("__role") + 1).cast("int")).alias("train_test"))
 
 
 def shuffled_roles(folds: DataFrame, fold: str, seed: int = 0, ratios: Ratios | None = None) -> DataFrame:

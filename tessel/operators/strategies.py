@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import fold_label
-from ..storage import Stored
+from ..storage import Stored, exchanged
 from . import splits as L
 from .clusters import cluster, subdivide
 from .components import connected_components
@@ -38,7 +38,7 @@ class Request:
         return self.tables[name]
 
     def sequences(self) -> DataFrame:
-        return self.table("sequences").join(self.ids.select(self.key), self.key, "left_semi")
+        return self.table("sequences").join(exchanged(self.ids.select(self.key)), self.key, "left_semi")
 
 
 Features = Callable[[Request], DataFrame]
@@ -84,7 +84,7 @@ def _(q: Request) -> DataFrame:
 def by_size(q: Request, folds: DataFrame) -> DataFrame:
     """(key, train_test, fold): whole folds, the largest first, to the roles that need them most; ``folds`` are (key, fold)."""
     sizes = folds.groupBy("fold").agg(F.count("*").alias("size"))
-    return folds.join(L.greedy_roles(sizes, "fold", "size", q.ratios).select("fold", "train_test"), "fold").select(q.key, "train_test", "fold")
+    return folds.join(exchanged(L.greedy_roles(sizes, "fold", "size", q.ratios).select("fold", "train_test")), "fold").select(q.key, "train_test", "fold")
 
 
 def _by_features(q: Request, name: str) -> DataFrame:

@@ -116,6 +116,21 @@ def test_greedy_roles_of_the_stated_cases(spark):
     assert splits.greedy_roles(fold([]), "fold", "size").count() == 0
 
 
+def test_more_folds_than_the_driver_deals_out(spark):
+    rng = random.Random(6)
+    rows = [(f"f{i}", rng.choice((1, 1, 1, 2, 3, 50, rng.randrange(400)))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "fold string, size long").repartition(5)
+    want = {tuple(r) for r in splits.greedy_roles(df, "fold", "size").collect()}
+    have, order = dict.fromkeys(("test", "train", "val"), 0), {}
+    for f, n in sorted(rows, key=lambda r: (-r[1], r[0])):
+        total = sum(have.values()) + n
+        cost = {o: sum(abs((have[p] + n * (p == o)) / max(total, 1) - (0.6 if p == "train" else 0.2)) for p in have) for o in have}
+        order[f] = next(o for o in have if cost[o] <= min(cost.values()) + 1e-12)
+        have[order[f]] += n
+    assert want == {(f, n, order[f]) for f, n in rows}
+    assert {tuple(r) for r in splits.greedy_roles(df, "fold", "size", most_folds=20).collect()} == want
+
+
 def test_quotas_and_their_cut(spark):
     assert splits.quotas(3) == {"train": 1, "test": 1, "val": 1} and splits.quotas(10) == {"train": 6, "test": 2, "val": 2} and splits.quotas(4) == {"train": 2, "test": 1, "val": 1}
     rng = random.Random(3)
